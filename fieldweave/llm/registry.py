@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import decontamination, license_scan, sharding
+from fieldweave.llm import decontamination, license_scan, secret_scan, sharding, simhash
 
 
 def queries():
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_sharding": sharding.op6_sharding,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
 
