@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import decontamination, license_scan, secret_scan, sharding, simhash
+from fieldweave.llm import decontamination, license_scan, secret_scan, sharding, simhash, toxicity
 
 
 def queries():
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_sharding": sharding.op6_sharding,
         "op7_decontamination": decontamination.op7_decontamination,
