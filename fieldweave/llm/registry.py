@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import decontamination, license_scan, secret_scan, sharding, simhash, toxicity
+from fieldweave.llm import decontamination, edit_fingerprint, license_scan, pieces, secret_scan, sharding, simhash, toxicity
 
 
 def queries():
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_sharding": sharding.op6_sharding,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
