@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 # The word pattern of the license and decontamination contracts.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# The same words before A-Z have been lowered; good for counting only.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII that parts words; letters are lowered in the same pass.
+SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -21,15 +21,10 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower A-Z only. Pure ASCII texts take the fast built-in; others are translated."""
-    whole = F.coalesce(text, F.lit(""))
-    ascii_only = F.octet_length(whole) == F.char_length(whole)
-    return F.when(ascii_only, F.lower(whole)).otherwise(F.translate(whole, string.ascii_uppercase, string.ascii_lowercase))
-
-
 def ascii_words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    """Words by WORD after lowering A-Z. One translation and a split: several times faster than the pattern."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), SEPARATORS + string.ascii_uppercase, " " * len(SEPARATORS) + string.ascii_lowercase)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def text_key(text: Column) -> Column:

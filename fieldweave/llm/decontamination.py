@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldweave.llm.common import WORD_ANY_CASE, ascii_words, shared_path, small_side, text_key
+from fieldweave.llm.common import ascii_words, shared_path, small_side, text_key
 
 WINDOW = 10
 
@@ -40,7 +40,7 @@ def window_items(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def term_counts(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """term, times: occurrences in all documents of each term of the windows."""
     terms = wins.select(F.explode("words").alias("term")).distinct()
-    tokens = docs.select(F.explode(ascii_words(F.col("text"))).alias("term"))
+    tokens = docs.select(F.explode_outer(ascii_words(F.col("text"))).alias("term"))
     seen = tokens.join(small_side(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("times"))
     return terms.join(seen, "term", "left").select("term", F.coalesce("times", F.lit(0)).alias("times"))
 
@@ -55,8 +55,9 @@ def rarest_terms(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 def store_postings(docs: DataFrame, terms: DataFrame, path: str, reach: int = WINDOW - 1) -> DataFrame:
     """Write and reread the index: term, doc_id, tk, pos and the words within reach, from lo on."""
-    words = docs.select("doc_id", text_key(F.col("text")).alias("tk"), ascii_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    tokens = words.select("doc_id", "tk", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("pos"))
+    words = docs.select("doc_id", text_key(F.col("text")).alias("tk"), ascii_words(F.col("text")).alias("w"))
+    # no filter on the words: Spark would push it down and split every text twice
+    tokens = words.select("doc_id", "tk", "w", F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("pos"))
     lo = F.greatest(F.col("pos") - reach, F.lit(0))
     postings = tokens.withColumn("term", F.get("w", F.col("pos"))).join(small_side(terms), "term")
     postings.select("term", "doc_id", "tk", "pos", lo.alias("lo"), F.slice("w", lo + 1, F.col("pos") - lo + reach + 1).alias("around")).write.mode("overwrite").parquet(path)
@@ -109,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     hits = found.select(*key, "start", "n").distinct().withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
     items = found.select(*key, "win").distinct().join(small_side(window_items(benchmark, size)), "win").groupBy(*key).agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     both = hits.join(items, [hits.doc_id.eqNullSafe(items.doc_id), hits.tk == items.tk], "left").select(hits.doc_id.alias("id2"), hits.tk.alias("tk2"), "n_hit", "items")
-    counted = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.size(ascii_words(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_or_none = F.coalesce("items", F.array().cast("array<string>"))
     return counted.join(both, counted.doc_id.eqNullSafe(both.id2) & (counted.tk == both.tk2), "left").select(
