@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldweave.llm.common import WORD, WORD_ANY_CASE, ascii_words, text_key
+from fieldweave.llm.common import WORD, ascii_words, text_key
 
 K = 3
 #: Neighbouring diagonals at most so far apart are one span of a long notice.
@@ -61,8 +61,9 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """Verified spans: doc_id, text key, label, exact, first word, end word (exclusive), coverage."""
-    words = docs.select("doc_id", text_key(F.col("text")).alias("tk"), ascii_words(F.col("text")).alias("w")).filter(F.size("w") >= K)
-    grams = words.select("doc_id", "tk", "w", F.explode(F.sequence(F.lit(0), F.size("w") - K)).alias("pos"))
+    words = docs.select("doc_id", text_key(F.col("text")).alias("tk"), ascii_words(F.col("text")).alias("w"))
+    # no filter on the words: Spark would push it down and split every text twice
+    grams = words.select("doc_id", "tk", "w", F.explode_outer(F.when(F.size("w") >= K, F.sequence(F.lit(0), F.size("w") - K))).alias("pos"))
     at = lambda i: F.get("w", F.col("pos") + i)
     votes = (
         grams.withColumn("gram", F.xxhash64(at(0), at(1), at(2)))
@@ -101,7 +102,7 @@ def scan(docs: DataFrame) -> DataFrame:
         join_labels(F.col("label")).alias("labels"),
         F.max("coverage").alias("score"),
     )
-    counted = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.size(ascii_words(F.col("text"))).cast("long").alias("n_words"))
     return counted.join(found, counted.doc_id.eqNullSafe(found.id2) & (counted.tk == found.tk2), "left").select(
         "doc_id",
         "n_words",
