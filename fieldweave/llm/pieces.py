@@ -57,7 +57,8 @@ class DoubleArray:
         base, check, val = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
         used = np.zeros(size, bool)
         used[0] = True
-        place, low = {0: 0}, 1
+        place = {0: 0}
+        hints = [1] * 257  # where to look for room, by number of children; moves on only
         todo = [(-len(children[0]), 0)]  # nodes with many children first, while there is room
         while todo:
             _, node = heapq.heappop(todo)
@@ -66,19 +67,19 @@ class DoubleArray:
             if not children[node]:
                 continue
             labels = np.array(sorted(children[node])) + 1
-            low += int(np.argmin(used[low:]))
-            start = max(low, labels[0])
+            start = max(hints[len(labels)], int(labels[0]))
             while True:
                 if start + 1024 > len(used):
                     grow = len(used)
                     used, base = np.append(used, np.zeros(grow, bool)), np.append(base, np.zeros(grow, np.int64))
                     check, val = np.append(check, np.full(grow, -1)), np.append(val, np.full(grow, -1))
-                first = start + np.flatnonzero(~used[start : start + 64])  # places for the first child
+                first = start + np.flatnonzero(~used[start : start + 256])  # places for the first child
                 fits = first[~used[(first - labels[0])[:, None] + labels].any(axis=1)]
                 if len(fits):
                     break
-                start += 64
+                start += 256
             base[at] = fits[0] - labels[0]
+            hints[len(labels)] = max(hints[len(labels)], start)
             for label in labels.tolist():
                 child = int(base[at]) + label
                 used[child], check[child] = True, at
