@@ -169,8 +169,8 @@ class PieceModel:
         """Viterbi over many stretches at once, place by place; the same splits as ``split``."""
         base, check, value = self.arrays
         texts = sorted((x.encode() for x in stretches), key=len)
-        for at in range(0, len(texts), 8192):
-            some = texts[at : at + 8192]
+        for at in range(0, len(texts), 2048):
+            some = texts[at : at + 2048]
             n, size = len(some), len(some[-1])
             lengths = np.array([len(x) for x in some])
             grid = np.full((n, size), 255, np.int64)  # 255 is in no text
@@ -240,7 +240,8 @@ class PieceModel:
         seen[None] = ([self.byte_id[b] for b in MARK.encode()], 3, 3 * BYTE_SCORE)
         for p in parts:
             found = [seen.get(x) or self.split(x) for x in p]
-            out.append((list(chain.from_iterable(x[0] for x in found)), sum(x[2] for x in found), sum(x[1] for x in found)))
+            ids, fallen, scores = zip(*found) if found else ((), (), ())
+            out.append((list(chain.from_iterable(ids)), sum(scores), sum(fallen)))
         return out
 
     def encode(self, text: str) -> tuple[list[int], float, int]:
