@@ -20,7 +20,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         for k, b in enumerate((BASE, inverse)):
-            x = np.full(n, b, np.uint64)
+            x = np.full(1 << (n - 1).bit_length(), b, np.uint64)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
     return _powers[0][:n], _powers[1][:n]

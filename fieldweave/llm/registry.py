@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import decontamination, edit_fingerprint, license_scan, pieces, secret_scan, sharding, simhash, toxicity
+from fieldweave.llm import decontamination, edit_fingerprint, license_scan, pieces, secret_scan, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_sharding": sharding.op6_sharding,
