@@ -32,9 +32,9 @@ DEPTH, GRAM, DIGIT = 400, 128, 100
 #: Bytes scanned at once; positions must fit in the low bits of a hash.
 PIECE, LOW_BITS = 1 << 20, np.uint64(21)
 #: Contexts of one piece up to which they are refined in one task; beyond, suffixes are grouped by Spark.
-TOGETHER = 20_000
+TOGETHER = 12_000
 #: Bytes of contexts that a task refines at once, if its groups are not larger.
-REFINE_BYTES = 6 << 20
+REFINE_BYTES = 2 << 20
 
 
 def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -98,35 +98,34 @@ def runs(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_run_batches, "doc_id long, tk long, first int, last int, gram long, ctx long")
 
 
-def _suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums and inverse powers of the joined contexts; start and context of each suffix."""
+def _suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of the joined contexts, powers by place in a context; start, place and context of each suffix."""
     data = np.frombuffer(b"".join(texts), np.uint8)
-    up, down = bw.powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(bw.LETTER[data] * up[:-1], out=total[1:])
     lengths = np.array([len(t) for t in texts])
     begins = np.cumsum(lengths) - lengths
+    up, down = bw.powers(int(lengths.max()) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(bw.LETTER[data] * up[np.arange(len(data)) - np.repeat(begins, lengths)], out=total[1:])
     counts = lengths - DEPTH + 1
-    owner = np.repeat(np.arange(len(texts)), counts)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + begins[owner]
-    return total, down, start, owner
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    return total, down, (place + begins[owner]).astype(np.int32), place, owner
 
 
 def repeated_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(context, offset in it) of the suffixes whose first DEPTH bytes occur more than once."""
-    total, down, start, owner = _suffixes(texts)
-    begins = np.cumsum([0, *map(len, texts)])
+    total, down, start, place, owner = _suffixes(texts)
     key = np.zeros(len(start), np.uint64)
     for depth in range(0, DEPTH, DIGIT):
-        digit = (total[start + depth + DIGIT] - total[start + depth]) * down[start + depth]
+        digit = (total[start + (depth + DIGIT)] - total[start + depth]) * down[place + depth]
         key = bw.mixed(key + digit * np.uint64(0xD6E8FEB86659FD93))
         order = np.argsort(key, kind="stable")
         k = key[order]
         same = np.zeros(len(k) + 1, bool)
         same[1:-1] = k[1:] == k[:-1]
         left = np.sort(order[same[1:] | same[:-1]])
-        key, start, owner = key[left], start[left], owner[left]
-    return owner, start - begins[owner]
+        key, start, place, owner = key[left], start[left], place[left], owner[left]
+    return owner, place
 
 
 def _covers(owner: np.ndarray, offset: np.ndarray, n: int) -> list[list[int]]:
@@ -167,10 +166,9 @@ def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            total, down, start, owner = _suffixes(texts := part.column("bytes").to_pylist())
-            begins = np.cumsum([0, *map(len, texts)])
-            key = bw.mixed((total[start + DEPTH] - total[start]) * down[start]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("ctx").take(pa.array(owner)), pa.array((start - begins[owner]).astype(np.int32)), pa.array(key)], ["ctx", "offset", "key"])
+            total, down, start, place, owner = _suffixes(part.column("bytes").to_pylist())
+            key = bw.mixed((total[start + DEPTH] - total[start]) * down[place]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("ctx").take(pa.array(owner)), pa.array(place), pa.array(key)], ["ctx", "offset", "key"])
 
 
 def _cover_offsets(offsets):
@@ -199,7 +197,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, tk, covers: flat [start, end, ...] of the repeated bytes of each document with any."""
     keyed = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("tk"), F.col("text").cast("binary").alias("text"))
     every = runs(keyed)
-    shared = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # written first, so that the join below has a shuffle on either side and hot pieces can be split
+    shared = checkpointed(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     left = checkpointed(every.join(shared, "gram", "left_semi"))
     size = F.col("last") - F.col("first") + DEPTH
     ctxs = left.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "first", size.alias("size"))).alias("rep"))
