@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import decontamination, edit_fingerprint, license_scan, pieces, secret_scan, sharding, simhash, suffix_dedup, toxicity
+from fieldweave.llm import compact_windows, decontamination, edit_fingerprint, license_scan, pieces, secret_scan, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_sharding": sharding.op6_sharding,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint,
+        "op9_compact_windows": compact_windows.op9_compact_windows,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
