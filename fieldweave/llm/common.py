@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -53,6 +54,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are finished and out of reach."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side only after counting it; larger sides are left to a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
