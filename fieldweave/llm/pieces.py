@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import math
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,6 +37,9 @@ BYTE_SCORE = -30.0
 REMEMBERED, LONG = 300_000, 48
 
 
+LATIN = re.compile("[a-zA-Z\u00c0-\u024f]")
+
+
 class DoubleArray:
     """Double-array trie over UTF-8 bytes: child = base[node] + byte + 1 if check[child] == node."""
 
@@ -121,9 +125,13 @@ class PieceModel:
         pad = [0] * 300
         self.arrays = [np.array(x + y, np.int64) for x, y in ((self.trie.base, pad), (self.trie.check, [-1] * 300), (self.trie.value, [-1] * 300))]
         self.score_of = np.array(self.scores)
-        # no piece holds a line break (checked), so it parts stretches
+        # where no piece goes on (checked), a stretch can be parted: around line breaks, and between a
+        # Latin letter and the mark after it
         part = "" if any("\n" in p for _, p in usable) else "\n"
-        self.stretch = re.compile(f"{MARK}*[^{MARK}{part}]+|{MARK}+" + "|\n" * bool(part))
+        joins = {p[k + 1] for _, p in usable for k in range(len(p) - 1) if LATIN.match(p[k])}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in joins)
+        word = f"{LATIN.pattern}++(?=[{marks}])|" if marks else ""
+        self.stretch = re.compile(f"{MARK}*(?:{word}[^{MARK}{part}]+)|{MARK}+" + "|\n" * bool(part))
         self.seen: dict[str | None, tuple[list[int], int, float]] = {}
 
     @classmethod
