@@ -8,7 +8,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.operators import field, graph, quality
+from fieldweave.functions import columns
+from fieldweave.operators import exact, field, geodesic, graph, matching, optimisers, quality, spectral, stability, topology
+from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.plans.reports import PLANS, spark_text
 
@@ -42,6 +44,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn(points(spark, sf_dir), K).select("src", "dst", (1 / (1 + F.col("dist"))).alias("w"))
 
 
+def other_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("features").cast("array<double>")
+    return points(spark, sf_dir).select("id", f[2].alias("x"), f[3].alias("y"))
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn(points(spark, sf_dir), 5).select("src", "dst", F.col("dist").alias("w"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select(F.col("quality").cast("long").alias("a"), F.col("toxic").cast("long").alias("b"))
+
+
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -81,6 +96,30 @@ QUERIES = {
     "mesh_repulsion": lambda s, d: _rounded(field.mesh_repulsion(layout(s, d), 16), "fx", "fy", digits=4),
     "attraction": lambda s, d: _rounded(field.attraction(edges(s, d), layout(s, d)), "fx", "fy", digits=4),
     "layout_step": lambda s, d: _rounded(field.step(layout(s, d), edges(s, d), 16, 0.5), "x", "y", digits=3),
+    "exact_repulsion": lambda s, d: _rounded(exact.exact_repulsion(layout(s, d)), "fx", "fy", digits=4),
+    "expected_repulsion": lambda s, d: _rounded(exact.expected_repulsion(layout(s, d), edges(s, d)), "fx", "fy", digits=4),
+    "weighted_attraction": lambda s, d: _rounded(exact.weighted_attraction(edges(s, d), layout(s, d)), "fx", "fy", digits=4),
+    "t_repulsion": lambda s, d: _rounded(exact.t_repulsion(layout(s, d)), "fx", "fy", digits=4),
+    "edge_bias": lambda s, d: _rounded(exact.edge_bias(graph.symmetric_max(edges(s, d))), "w", "bias"),
+    "t_attraction": lambda s, d: _rounded(exact.t_attraction(exact.edge_bias(graph.symmetric_max(edges(s, d))), layout(s, d)), "fx", "fy", digits=4),
+    "density_pressure": lambda s, d: _rounded(exact.density_pressure(layout(s, d), 16, 5), "fx", "fy", digits=4),
+    "local_radius": lambda s, d: _rounded(exact.local_radius(edges(s, d), layout(s, d)), "radius"),
+    "graph_components": lambda s, d: geodesic.components(points(s, d).select("id"), knn(points(s, d), 2).select("src", "dst", F.col("dist").alias("w"))),
+    "geodesic_correlation": lambda s, d: _rounded(geodesic.geodesic_correlation(_lengths(s, d), projected(s, d), geodesic.landmarks(points(s, d), 16)), "rho"),
+    "adjusted_mutual_information": lambda s, d: s.createDataFrame([(round(matching.adjusted_mutual_information(_labels(s, d)), 6),)], "ami double"),
+    "label_changes": lambda s, d: _rounded(matching.label_changes(_labels(s, d)), "changed", "noise_flips", "between_clusters"),
+    "procrustes": lambda s, d: _rounded(stability.procrustes(layout(s, d), other_layout(s, d)).select("rms", "n"), "rms"),
+    "neighbour_overlap": lambda s, d: _rounded(stability.neighbour_overlap(points(s, d), projected(s, d), K), "overlap"),
+    "arc_positions": lambda s, d: _rounded(stability.arc_positions(layout(s, d)), "arc", digits=4),
+    "pseudotime_correlation": lambda s, d: _rounded(stability.pseudotime_correlation(layout(s, d), points(s, d).select("id", F.col("id").cast("double").alias("t"))), "rho"),
+    "cell_similarity": lambda s, d: _rounded(stability.cell_similarity(points(s, d), projected(s, d)), "rho", digits=4),
+    "quantized_layout": lambda s, d: columns.quantized(layout(s, d), 1023),
+    "normalize_log1p": lambda s, d: _rounded(columns.normalize_log1p(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("feature"), F.col("l_quantity").alias("value"))).groupBy("row").agg(F.sum("value").alias("value")), "value"),
+    "persistent_homology": lambda s, d: s.createDataFrame([topology.persistent_homology_distance(points(s, d), projected(s, d), 24)], "h0 double, h1 double, total double"),
+    "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), rounds=5),
+    "field_layout": lambda s, d: FieldLayout(n_epochs=4, save_every=4).fit_transform(points(s, d)),
+    "sampled_layout": lambda s, d: optimisers.sampled_layout(edges(s, d), layout(s, d), 4, save_every=4),
+    "t_layout": lambda s, d: optimisers.t_layout(edges(s, d), layout(s, d), 3, save_every=3),
 }
 
 _P = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings)"
@@ -100,6 +139,10 @@ _CELL = f"{_L}, b AS (SELECT least(min(x), min(y)) AS low, (greatest(max(x), max
 _FIELD = "m2 AS (SELECT cx, cy, any_value(width) AS width, sum(x) AS sx, sum(y) AS sy, count(*) AS cnt FROM c GROUP BY cx, cy), q AS (SELECT s.cx, s.cy, least(4.0, 2 * 0.895 / ((0.001 + r2) * (1 + 1.577 * pow(r2, 0.895)))) AS k, o_sx, o_sy, o_cnt FROM (SELECT s.cx, s.cy, t.sx AS o_sx, t.sy AS o_sy, t.cnt AS o_cnt, pow((s.cx - t.cx) * s.width, 2) + pow((s.cy - t.cy) * s.width, 2) AS r2 FROM m2 s, m2 t) s), h AS (SELECT cx, cy, sum(k * o_cnt) AS phi, sum(k * o_sx) AS px, sum(k * o_sy) AS py FROM q GROUP BY cx, cy), push AS (SELECT id, phi * x - px AS fx, phi * y - py AS fy FROM c JOIN h USING (cx, cy))"
 _PULL = "z AS (SELECT src, s.x - t.x AS dx, s.y - t.y AS dy FROM g JOIN l s ON s.id = src JOIN l t ON t.id = dst), z2 AS (SELECT src, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN -2 * 1.577 * 0.895 * pow(dx * dx + dy * dy, 0.895 - 1) / (1 + 1.577 * pow(dx * dx + dy * dy, 0.895)) ELSE 0 END AS gr FROM z), pull AS (SELECT src AS id, sum(greatest(-4.0, least(4.0, gr * dx))) AS fx, sum(greatest(-4.0, least(4.0, gr * dy))) AS fy FROM z2 GROUP BY src)"
 
+_ALL = "z AS (SELECT a.id, b.id AS other, a.x - b.x AS dx, a.y - b.y AS dy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS r2 FROM l a, l b)"
+_BIAS = "o AS (SELECT src AS v, count(*) AS n FROM m GROUP BY src), e AS (SELECT src, dst, w, t.n / (s.n + t.n) AS bias FROM m JOIN o s ON s.v = src JOIN o t ON t.v = dst)"
+_ARC = "s AS (SELECT avg(x) AS mx, avg(y) AS my, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS t FROM l), o AS (SELECT id, x, y, (x - mx) * cos(t) + (y - my) * sin(t) AS p FROM l, s), d AS (SELECT id, p, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS gap FROM o WINDOW w AS (ORDER BY p, id)), arc AS (SELECT id, sum(gap) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING) AS arc FROM d)"
+
 
 def _rank_sql(near: str, ranked: str) -> str:
     return f"WITH {_P}, {_E}, {_knn_sql('k', near, 5)}, r AS (SELECT k.src, k.dst, 1 + (SELECT count(*) FROM {ranked} o WHERE o.id <> k.src AND list_distance(o.f, s.f) < list_distance(t.f, s.f)) AS rank FROM k JOIN {ranked} s ON s.id = k.src JOIN {ranked} t ON t.id = k.dst), n AS (SELECT count(*)::DOUBLE AS n FROM p) SELECT round(1 - 2.0 / (any_value(n) * 5 * (2 * any_value(n) - 16)) * sum(greatest(rank - 5, 0)), 6) AS score FROM r, n"
@@ -126,6 +169,26 @@ ORACLE = {
     "mesh_repulsion": f"WITH {_CELL}, {_FIELD} SELECT id, round(fx, 4) AS fx, round(fy, 4) AS fy FROM push",
     "attraction": f"WITH {_EDGES}, {_L}, {_PULL} SELECT id, round(fx, 4) AS fx, round(fy, 4) AS fy FROM pull",
     "layout_step": f"WITH {_EDGES}, {_CELL}, {_PULL}, {_FIELD}, cl AS (SELECT id, CASE WHEN sqrt(fx * fx + fy * fy) > 4 THEN 4 / sqrt(fx * fx + fy * fy) ELSE 1 END AS f, fx, fy FROM push) SELECT l.id, round(l.x + 0.5 * (coalesce(pull.fx, 0) + coalesce(cl.fx * f, 0)), 3) AS x, round(l.y + 0.5 * (coalesce(pull.fy, 0) + coalesce(cl.fy * f, 0)), 3) AS y FROM l LEFT JOIN pull USING (id) LEFT JOIN cl USING (id)",
+    "exact_repulsion": f"WITH {_L}, {_ALL}, x AS (SELECT *, 2 * 0.895 / ((0.001 + r2) * (1 + 1.577 * pow(r2, 0.895))) AS k FROM z) SELECT id, round(sum(greatest(-4.0, least(4.0, k * dx))), 4) AS fx, round(sum(greatest(-4.0, least(4.0, k * dy))), 4) AS fy FROM x GROUP BY id",
+    "expected_repulsion": f"WITH {_EDGES}, {_L}, {_ALL}, x AS (SELECT z.*, 1 - coalesce(g.w, 0) AS f, 2 * 0.895 / ((0.001 + r2) * (1 + 1.577 * pow(r2, 0.895))) AS k FROM z LEFT JOIN g ON g.src = z.id AND g.dst = z.other) SELECT id, round(sum(f * greatest(-4.0, least(4.0, k * dx))), 4) AS fx, round(sum(f * greatest(-4.0, least(4.0, k * dy))), 4) AS fy FROM x GROUP BY id",
+    "weighted_attraction": f"WITH {_EDGES}, {_L}, {_ALL}, x AS (SELECT z.id, dx, dy, CASE WHEN r2 > 0 THEN g.w * -2 * 1.577 * 0.895 * pow(r2, 0.895 - 1) / (1 + 1.577 * pow(r2, 0.895)) ELSE 0 END AS k FROM z JOIN g ON g.src = z.id AND g.dst = z.other) SELECT id, round(sum(greatest(-4.0, least(4.0, k * dx))), 4) AS fx, round(sum(greatest(-4.0, least(4.0, k * dy))), 4) AS fy FROM x GROUP BY id",
+    "t_repulsion": f"WITH {_L}, {_ALL} SELECT id, round(sum(dx / pow(1 + r2, 2)), 4) AS fx, round(sum(dy / pow(1 + r2, 2)), 4) AS fy FROM z GROUP BY id",
+    "edge_bias": f"WITH {_EDGES}, {_MAX}, {_BIAS} SELECT src, dst, round(w, 6) AS w, round(bias, 6) AS bias FROM e",
+    "t_attraction": f"WITH {_EDGES}, {_MAX}, {_BIAS}, {_L}, {_ALL} SELECT z.id, round(sum((8 / (1 + r2) + bias) * -dx), 4) AS fx, round(sum((8 / (1 + r2) + bias) * -dy), 4) AS fy FROM z JOIN e ON e.src = z.id AND e.dst = z.other GROUP BY z.id",
+    "density_pressure": f"WITH {_CELL}, n AS (SELECT cx, cy, count(*) AS n FROM c GROUP BY cx, cy HAVING count(*) > 5) SELECT id, round((n - 5) / n * (x - (low + (cx + 0.5) * c.width)), 4) AS fx, round((n - 5) / n * (y - (low + (cy + 0.5) * c.width)), 4) AS fy FROM c JOIN n USING (cx, cy), b",
+    "local_radius": f"WITH {_EDGES}, {_L}, {_ALL} SELECT round(median(sqrt(r2)), 6) AS radius FROM z JOIN g ON g.src = z.id AND g.dst = z.other WHERE r2 > 0",
+    "graph_components": f"WITH RECURSIVE {_P}, {_knn_sql('k', 'p', 2)}, m AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k), r AS (SELECT id, id AS c FROM p UNION SELECT m.src, r.c FROM r JOIN m ON m.dst = r.id) SELECT id, min(c) AS component FROM r GROUP BY id",
+    "adjusted_mutual_information": "WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c), a AS (SELECT a, sum(n) AS n FROM c GROUP BY a), b AS (SELECT b, sum(n) AS n FROM c GROUP BY b), mi AS (SELECT sum(c.n / t * ln(c.n * t / (a.n * b.n))) AS mi FROM c JOIN a USING (a) JOIN b USING (b), t), h AS (SELECT (SELECT -sum(n / t * ln(n / t)) FROM a, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM b, t) AS hb), x AS (SELECT a.n AS x, b.n AS y, t, unnest(range(greatest(1, a.n + b.n - t)::BIGINT, least(a.n, b.n)::BIGINT + 1)) AS n FROM a, b, t), e AS (SELECT sum(n / t * ln(n * t / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(x - n + 1) - lgamma(y - n + 1) - lgamma(t - x - y + n + 1))) AS e FROM x) SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, h, e",
+    # two labels without noise: they keep their names or swap
+    "label_changes": "WITH s AS (SELECT avg((quality <> toxic)::INT::DOUBLE) AS c, count(*) AS n FROM labels) SELECT round(least(c, 1 - c), 6) AS changed, 0.0::DOUBLE AS noise_flips, round(least(c, 1 - c), 6) AS between_clusters, n FROM s",
+    # the best orthogonal map leaves 2 - 2 (sum of singular values) of the squared gap
+    "procrustes": "WITH l AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings), m AS (SELECT covar_pop(a, c) AS ac, covar_pop(a, d) AS ad, covar_pop(b, c) AS bc, covar_pop(b, d) AS bd, sqrt((var_pop(a) + var_pop(b)) * (var_pop(c) + var_pop(d))) AS f, count(*) AS n FROM l) SELECT round(sqrt((2 - 2 / f * greatest(sqrt(pow(ac + bd, 2) + pow(ad - bc, 2)), sqrt(pow(ac - bd, 2) + pow(ad + bc, 2)))) / n), 6) AS rms, n FROM m",
+    "neighbour_overlap": f"WITH {_P}, {_E}, {_knn_sql('k', 'p', K)}, {_knn_sql('q', 'e', K)} SELECT round((SELECT count(*) FROM k JOIN q USING (src, dst)) / count(*) / {K}, 6) AS overlap, count(*) AS n FROM p",
+    "arc_positions": f"WITH {_L}, {_ARC} SELECT id, round(arc, 4) AS arc FROM arc",
+    "pseudotime_correlation": f"WITH {_L}, {_ARC}, r AS (SELECT rank() OVER (ORDER BY arc) + (count(*) OVER (PARTITION BY arc) - 1) / 2 AS a, rank() OVER (ORDER BY id) AS b FROM arc) SELECT round(abs(corr(a, b)), 6) AS rho, count(*) AS n FROM r",
+    "cell_similarity": f"WITH {_P}, {_E}, {_knn_sql('k', 'p', 1000000)}, {_knn_sql('q', 'e', 1000000)}, h AS (SELECT count(*) // 2 AS h FROM p) SELECT k.src, round(corr(a.dist, b.dist), 4) AS rho FROM k JOIN h ON k.rank <= h JOIN q a ON a.src = k.src AND a.dst = k.dst JOIN q b ON b.src = k.src AND b.rank = k.rank GROUP BY k.src",
+    "quantized_layout": f"WITH {_L}, b AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) AS span FROM l) SELECT id, round_even((x - x0) * (1023 / span), 0)::INT AS qx, round_even((y - y0) * (1023 / span), 0)::INT AS qy FROM l, b",
+    "normalize_log1p": "WITH s AS (SELECT l_orderkey AS row, sum(l_quantity) AS total FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0), t AS (SELECT median(total) AS target FROM s) SELECT row, round(sum(ln(1 + l_quantity * target / total)), 6) AS value FROM lineitem JOIN s ON row = l_orderkey, t GROUP BY row",
 }
 
 
