@@ -36,7 +36,7 @@ def sampled_epoch(due: DataFrame, at: DataFrame, numbered: DataFrame, n: int, se
     return sides.union(pushed).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
-def sampled_layout(edges: DataFrame, init: DataFrame, n_epochs: int = 50, rate: float = 1.0, negatives: int = 5, seed: int = 0, spread: float = 1.0, min_dist: float = 0.2, save_every: int = 5) -> DataFrame:
+def sampled_layout(edges: DataFrame, init: DataFrame, n_epochs: int = 50, rate: float = 1.0, negatives: int = 5, seed: int = 0, spread: float = 1.0, min_dist: float = 0.2, save_every: int = 1) -> DataFrame:
     """Synchronous sampled descent from a prepared graph(src, dst, w) and positions."""
     a, b = curve_parameters(spread, min_dist)
     timed = saved(graph.intervals(graph.prune(edges, n_epochs), n_epochs))
@@ -64,7 +64,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("k", inside).join(F.broadcast(first), "p").select((F.col("start") + F.col("k")).alias("place"), "id")  # one row a partition
 
 
-def t_layout(edges: DataFrame, init: DataFrame, n_epochs: int = 50, strength: float = 0.1, power: float = 2.0, beta: float = 8.0, momentum: float = 0.6, save_every: int = 5) -> DataFrame:
+def t_layout(edges: DataFrame, init: DataFrame, n_epochs: int = 50, strength: float = 0.1, power: float = 2.0, beta: float = 8.0, momentum: float = 0.6, save_every: int = 1) -> DataFrame:
     """Bounded t-forces with momentum: attraction at the looked-ahead positions, steps of length 1 at most."""
     edges = saved(exact.edge_bias(edges))
     at = saved(init.select("id", "x", "y", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")))

@@ -117,9 +117,9 @@ QUERIES = {
     "normalize_log1p": lambda s, d: _rounded(columns.normalize_log1p(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("feature"), F.col("l_quantity").alias("value"))).groupBy("row").agg(F.sum("value").alias("value")), "value"),
     "persistent_homology": lambda s, d: s.createDataFrame([topology.persistent_homology_distance(points(s, d), projected(s, d), 24)], "h0 double, h1 double, total double"),
     "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), rounds=5),
-    "field_layout": lambda s, d: FieldLayout(n_epochs=4, save_every=4).fit_transform(points(s, d)),
-    "sampled_layout": lambda s, d: optimisers.sampled_layout(edges(s, d), layout(s, d), 4, save_every=4),
-    "t_layout": lambda s, d: optimisers.t_layout(edges(s, d), layout(s, d), 3, save_every=3),
+    "field_layout": lambda s, d: FieldLayout(n_epochs=4).fit_transform(points(s, d)),
+    "sampled_layout": lambda s, d: optimisers.sampled_layout(edges(s, d), layout(s, d), 4),
+    "t_layout": lambda s, d: optimisers.t_layout(edges(s, d), layout(s, d), 3),
 }
 
 _P = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings)"
