@@ -199,6 +199,23 @@ def test_compact_windows_hold_every_passage():
         assert [w for w in windows if w[0] <= s <= w[1] <= e <= w[2]] == [w for w in windows if w[1] == c]
 
 
+def test_a_shared_passage_counts_however_often_it_stands():
+    rng = np.random.default_rng(11)
+    p, *fill = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (compact_windows.TOKENS, 30, 30, 30, 10, 10))
+    x = np.concatenate([fill[0], p, fill[1]])
+    ends = (30, 30 + len(p) - 1)
+    scattered = np.concatenate([p, fill[2], p[:40], fill[3], p[:40]])  # again some tokens away, in parts
+    for y, at in ((np.concatenate([p, fill[2], p]), {0, len(p) + 30}), (scattered, {0}), (np.concatenate([p, fill[3], p[:20], fill[4], p[5:25]]), {0})):
+        found = compact_windows._alike(x, y)
+        assert at <= {f[2] for f in found if f[:2] == ends and f[3] - f[2] == len(p) - 1}
+    q = rng.integers(0, 1 << 32, compact_windows.TOKENS, dtype=np.uint32)
+    found = compact_windows._alike(np.concatenate([p, q]), np.concatenate([p, fill[0], q]))  # together here, apart there
+    assert all(any(f[0] <= a and f[1] >= a + 45 and f[2] <= b and f[3] >= b + 45 for f in found) for a, b in ((0, 0), (46, 76)))
+    assert compact_windows._alike(x, np.concatenate([p[:40], fill[2], p[6:]])) == []
+    many = np.zeros(3000, np.uint32)
+    assert compact_windows._diagonals(many, many)[2999] == 3000
+
+
 def test_toxicity(spark, docs):
     texts = [(i, long_text(i, 60) + (" you vile scoundrel" if i % 4 == 0 else "")) for i in range(200)]
     table = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string")
