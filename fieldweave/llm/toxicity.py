@@ -1,23 +1,37 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A word is spelt in three steps: its first four bytes, its first six given those, and the whole
-word given those six. Each class (toxic, ordinary) has discounted counts of the steps; what the
-discount frees goes to a backoff that both classes share, counted over all documents. So a form
-that labelled texts show rarely or never falls back to its stem, and a stem that neither class
-shows says nothing. Log-likelihoods of the classes are compared per word (length-normalised):
-over the whole text, and over its few most telling words. A logistic curve turns both into a score.
-
-Counts live in hashed cells of a fixed number, so the model has a fixed size whatever the corpus.
-Labels come from at most TRAIN_ROWS labelled rows (a documented bound of the fit) whose
-crc32(doc_id) mod 5 is not 0; the curve is fitted on their scores with their own counts taken out.
-
-Null texts count as empty and get the score of a text without evidence. Rows labelled more than
-once count as toxic if any label says so; null labels are ignored. Without labels of both classes
-the score is the share of toxic labels (0 if none). Repeated rows are scored alike.
+A word with its left neighbour is told in four steps: its first four bytes, its first six given
+those, the whole word given those six, and the left neighbour given the word. Each class (toxic,
+ordinary) has discounted counts of the steps in labelled texts. What the discounts free goes to a
+backoff that both classes share: the continuation counts of all documents, that is in how many
+different left contexts a word stands (a stem: the sum over its words). A form that one class never
+showed falls back to its stem and the shared counts; a pair that no two labelled texts show backs
+off in both classes and says nothing.
+
+A toxic text is mostly ordinary words, so the toxic model of a text mixes SHARE of the toxic class
+with the ordinary one. The log-likelihoods of both models are compared per word, and a logistic
+curve over asinh(difference / SHARE) turns the length-normalised difference into a score.
+
+The continuation counts are one row for each word of the corpus, so what is gathered grows with the
+input and stays distributed. Left contexts are counted in two bitmaps of 64 bits that merge by OR:
+one takes all contexts, the other one in 32; counts of a few contexts are exact but for chance
+clashes of 1 in 64, counts over about 150 are estimates from the second (an error of some 15 %).
+
+Labels come from rows whose crc32(doc_id) mod 5 is not 0, of which a sample by hash of about
+TRAIN_ROWS rows and TRAIN_BYTES bytes at most is learnt from (the documented bound of the fit, so
+the model that is broadcast is bounded too). The curve is fitted on the sample's rows of remainder
+1, at most CURVE_ROWS, scored by a model without them.
+
+Null and empty texts get the score of a text without evidence. Very long texts are read whole. Rows
+labelled more than once count as toxic if any label says so; null labels and null ids are not learnt
+from, and a null id is not held out. Without labels of both classes the score is the share of toxic
+labels (0 if none). Repeated rows are scored alike, an empty table gives no rows, other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,224 +40,276 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import bytewords as bw
+from fieldweave.llm.common import shared_path, text_key
 
-CELLS = 1 << 18
-#: Bound on the labelled rows that the fit takes, and on those that the curve is fitted on.
-TRAIN_ROWS, CURVE_ROWS = 50_000, 10_000
+#: Bounds on the labelled rows that the fit takes, on their bytes, and on the rows of the curve.
+TRAIN_ROWS, TRAIN_BYTES, CURVE_ROWS = 20_000, 40_000_000, 10_000
 #: Discounts of steps that one, two, or more texts of a class show.
 DISCOUNTS = (0.9, 1.4, 1.6)
-TELLING = 3
-STRIDE = 4096
+#: Share of toxic words in the model of a toxic text.
+SHARE = 0.02
+#: Words without evidence that every text counts besides its own.
+PRIOR_WORDS = 30
 BLOCK_BYTES = 4 << 20
+#: Words gathered by a task before they are passed on.
+HELD_WORDS = 400_000
+SALTS = [np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87)]
+#: Documents of each class that show b after a, without and with those of the curve apart.
+EVENT = "level int, a long, b long, t1 int, o1 int, t int, o int"
+#: Log ratios of a step, and of one that no text shows after it; with 1: by the model without the rows of the curve.
+RATIOS = ("r1", "u1", "r", "u")
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def word_cells(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(3, words) cells of the steps of each word, and the words' rows."""
+def _words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of each word: four bytes, six bytes, word, left word (its text's first: a mark); and its row."""
     low, starts, ends, rows = bw.words(buffer, offsets)
     if not len(starts):
-        return np.zeros((3, 0), np.int64), rows
+        none = np.zeros(0, np.uint64)
+        return none, none, none, none, rows
     size = np.minimum(ends - starts, 6)
     padded = np.concatenate([low, np.zeros(6, np.uint8)])
     packed = np.zeros(len(starts), np.uint64)
-    cells = np.empty((3, len(starts)), np.int64)
     for k in range(6):
-        byte = np.where(k < size, padded[starts + k], 0).astype(np.uint64)
-        packed |= byte << np.uint64(8 * k)
+        packed |= np.where(k < size, padded[starts + k], 0).astype(np.uint64) << np.uint64(8 * k)
         if k == 3:
-            cells[0] = bw.mixed(packed) >> np.uint64(46)
-    cells[1] = bw.mixed(packed ^ np.uint64(1 << 62)) >> np.uint64(46)
-    cells[2] = bw.span_hashes(low, starts, ends) >> np.uint64(46)
-    return cells, rows
+            four = bw.mixed(packed ^ SALTS[0])
+    word = bw.mixed(bw.span_hashes(low, starts, ends) ^ SALTS[2])
+    left = np.append(SALTS[3], word[:-1])
+    left[np.append(True, rows[1:] != rows[:-1])] = SALTS[3]
+    return four, bw.mixed(packed ^ SALTS[1]), word, left, rows
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: planes toxic, ordinary, all and parent for each step, in blocks of cells."""
-    counts = np.zeros((3, 4, CELLS), np.int64)
-    counts[:, 3] = -1
-    for batch in batches:
-        buffer, offsets = bw.text_buffer(batch.column("text"))
-        label = batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
-        for a, b in bw.blocks(offsets, BLOCK_BYTES):
-            cells, rows = word_cells(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            which = label[a:b][rows] if len(rows) else rows
-            for level in range(3):
-                counts[level, 2] += np.bincount(cells[level], minlength=CELLS)
-                for plane, y in ((0, 1), (1, 0)):
-                    at = which == y
-                    once = np.unique(rows[at] * CELLS + cells[level][at]) % CELLS
-                    counts[level, plane] += np.bincount(once, minlength=CELLS)
-                if level:
-                    counts[level, 3, cells[level]] = cells[level - 1]
-    flat = counts.reshape(3, 4, -1, STRIDE)
-    keep = [(level, k) for level in range(3) for k in range(flat.shape[2]) if flat[level, 2, k].any()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([level * 1000 + k for level, k in keep], pa.int32()), pa.array([flat[level, :, k].tobytes() for level, k in keep], pa.binary())], ["block", "counts"]
-    )
-
-
-def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the blocks as they stream by; a task holds one array for each block it owns."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            x = np.frombuffer(raw, np.int64).reshape(4, STRIDE)
-            if block in sums:
-                sums[block][:3] += x[:3]
-                np.maximum(sums[block][3], x[3], out=sums[block][3])
-            else:
-                sums[block] = x.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+def _pairs(left: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return bw.mixed(left * SALTS[3] + word)
+
+
+def _merged(word: np.ndarray, rest: list[np.ndarray], bits: list[np.ndarray]) -> list[np.ndarray]:
+    """One row a word: any of the rest, bits by OR."""
+    order = np.argsort(word, kind="stable")
+    w = word[order]
+    first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, int)
+    return [w[first], *(x[order][first] for x in rest), *(np.bitwise_or.reduceat(x[order], first) if len(first) else x for x in bits)]
 
 
-def _kn(count, history, types, shared):
-    one, two, more = DISCOUNTS
-    off = np.where(count > 2, more, np.where(count > 1, two, np.minimum(count, one)))
-    freed = np.minimum(one * types, history)
-    return np.where(history > 0, (count - off + freed * shared) / np.maximum(history, 1), shared)
+def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their stems and the bitmaps of their left contexts."""
+    held: list[list[np.ndarray]] = []
+    one = np.uint64(1)
 
+    def out(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        return _merged(cols[0], cols[1:3], cols[3:])
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Values of the wanted keys among sorted keys; 0 where there is none."""
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
+    def batch_of(cols: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["word", "six", "four", "near", "far"])
+
+    for batch in batches:
+        buffer, offsets = bw.text_buffer(batch.column("text"))
+        for a, b in bw.blocks(offsets, BLOCK_BYTES):
+            four, six, word, left, _ = _words(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            spread = bw.mixed(left ^ SALTS[1])
+            near = one << (spread & np.uint64(63))
+            far = np.where(spread >> np.uint64(59) == 0, one << (spread >> np.uint64(6) & np.uint64(63)), np.uint64(0))
+            held.append(_merged(word, [six, four], [near, far]))
+            if sum(len(x[0]) for x in held) >= HELD_WORDS:
+                held = [out(held)]
+                if len(held[0][0]) >= HELD_WORDS // 2:
+                    yield batch_of(held.pop())
+    if held:
+        yield batch_of(out(held))
+
+
+def contexts(docs: DataFrame) -> DataFrame:
+    """word, six, four and n, in how many left contexts each word of all documents stands."""
+    seen = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_context_batches, "word long, six long, four long, near long, far long")
+    each = seen.groupBy("word").agg(F.first("six").alias("six"), F.first("four").alias("four"), F.bit_or("near").alias("near"), F.bit_or("far").alias("far"))
+    free = lambda c: F.greatest(64 - F.bit_count(c), F.lit(0.5)) / 64
+    n = F.when(F.bit_count("near") <= 58, -64 * F.log(free("near"))).otherwise(F.greatest(-64 * 32 * F.log(free("far")), F.lit(150.0)))
+    return each.select("word", "six", "four", n.alias("n"))
+
+
+def _event_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps (b after a) of labelled texts by class; each text counts a step once."""
+    names = [x.split()[0] for x in EVENT.split(", ")]
+    for batch in batches:
+        buffer, offsets = bw.text_buffer(batch.column("text"))
+        toxic, curve = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "curve"))
+        for x, y in bw.blocks(offsets, BLOCK_BYTES):
+            four, six, word, left, rows = _words(buffer[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+            if not len(word):
+                continue
+            for level, a, b in ((0, np.zeros_like(four), four), (1, four, six), (2, six, word), (3, word, left)):
+                order = np.lexsort((rows, a, b))
+                a, b, r = a[order], b[order], rows[order]
+                other = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                new = other | np.append(True, r[1:] != r[:-1])
+                a, b, r, other = a[new], b[new], r[new], other[new]
+                start = np.flatnonzero(other)
+                t, c = toxic[x:y][r] == 1, curve[x:y][r]
+                sums = [np.add.reduceat(v.astype(np.int32), start) for v in (t & c, ~t & c, t & ~c, ~t & ~c)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), level, np.int32)), pa.array(a[start].view(np.int64)), pa.array(b[start].view(np.int64)), *(pa.array(v, pa.int32()) for v in sums)], names)
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+        yield pa.RecordBatch.from_arrays([pa.array(_pairs(b, a).view(np.int64)), batch.column("r1"), batch.column("r")], ["key", "r1", "r"])
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def step_ratios(events: DataFrame, corpus: DataFrame) -> DataFrame:
+    """key and RATIOS of the steps that labelled texts show; key 0 stands for the empty history."""
+    classes = {"t1": F.col("t"), "o1": F.col("o"), "t": F.col("t") + F.col("t1"), "o": F.col("o") + F.col("o1")}
+    seen = _written(events.groupBy("level", "a", "b").agg(*(F.sum(c).alias(c) for c in classes)), "steps").select("level", "a", "b", *(v.cast("double").alias(c) for c, v in classes.items()))
+    by = _written(seen.groupBy("level", "a").agg(*(F.sum(c).alias(f"h_{c}") for c in classes), *(F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in classes)), "histories")
+
+    def discounted(c: str, shared):
+        """Discounted share of a step, and what the discount frees dealt out by the lower order."""
+        one, two, more = DISCOUNTS
+        n, h, k = F.col(c), F.col(f"h_{c}"), F.col(f"k_{c}")
+        off = F.when(n > 2, more).when(n > 1, two).when(n > 0, one).otherwise(0.0)
+        return F.when(h > 0, (n - off + F.least(one * k, h) * shared) / h).otherwise(shared)
+
+    ratio = lambda x, y: F.log(F.greatest(x, F.lit(1e-300)) / F.greatest(y, F.lit(1e-300)))
+    # the shared lower order: a step's left contexts over those of its history, from all documents
+    counts = [corpus.select(F.lit(2).alias("level"), F.col("word").alias("b"), "n")]
+    counts += [corpus.groupBy(F.col(c).alias("b")).agg(F.sum("n").alias("n")).select(F.lit(i).alias("level"), "b", "n") for i, c in enumerate(("four", "six"))]
+    counts = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    above = counts.select((F.col("level") + 1).alias("level"), F.col("b").alias("a"), F.col("n").alias("above")).unionByName(corpus.agg(F.sum("n").alias("above")).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("a"), "above"))
+    steps = seen.filter("level < 3 OR t + o >= 2").join(counts, ["level", "b"], "left").join(above, ["level", "a"], "left").join(by, ["level", "a"])
+    shared = F.least(F.when(F.col("level") < 3, F.coalesce("n", F.lit(0.5))).otherwise(1.0) / F.coalesce("above", F.lit(1.0)), F.lit(1.0))
+    steps = _written(steps.select("level", "a", "b", *(ratio(discounted(t, shared), discounted(o, shared)).alias(r) for r, t, o in (("r1", "t1", "o1"), ("r", "t", "o")))), "ratios")
+    freed = lambda c: F.when(F.col(f"h_{c}") > 0, F.least(DISCOUNTS[0] * F.col(f"k_{c}") / F.col(f"h_{c}"), F.lit(1.0))).otherwise(1.0)
+    ends = by.filter("level < 3").select(F.col("a").alias("key"), ratio(freed("t1"), freed("o1")).alias("u1"), ratio(freed("t"), freed("o")).alias("u"))
+    known = steps.filter("level < 3").select(F.col("b").alias("key"), "r1", "r").join(ends, "key", "full")
+    left = steps.filter("level = 3").select("a", "b", "r1", "r").mapInArrow(_pair_batches, "key long, r1 double, r double")
+    every = known.unionByName(left, allowMissingColumns=True)
+    return every.select("key", *(F.coalesce(c, F.lit(0.0)).cast("float").alias(c) for c in RATIOS))
 
 
 class Model:
-    """Counts by step, class and cell, the steps' log ratios, and the curve. Its size is fixed."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float64)[:, :3]
-        self.parent = np.maximum(counts[:, 3], 0)
-        self.total = self.counts[0].sum(1)
-        self.types = np.zeros((3, 2, CELLS))
-        for level in (1, 2):
-            for y in (0, 1):
-                self.types[level, y] = np.bincount(self.parent[level][self.counts[level, y] > 0], minlength=CELLS)
-        self.first_types = (self.counts[0, :2] > 0).sum(1)
-        every = np.arange(CELLS)
-        self.ratio = np.stack([self._ratio(level, every, None, None) for level in range(3)]).astype(np.float32)
-        self.curve = np.zeros(3)
-        self.center, self.scale = np.zeros(2), np.ones(2)
-
-    def _ratio(self, level: int, cells: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]] | None, label: int | None) -> np.ndarray:
-        """Log of the toxic over the ordinary probability of a step; own counts are taken out of label's."""
-        up = self.parent[level][cells]
-        history_all = self.total[2] if level == 0 else self.counts[level - 1, 2][up]
-        shared = np.maximum(self.counts[level, 2][cells], 0.5) / np.maximum(history_all, 1)
-        logs, seen = [], []
-        for y in (0, 1):
-            count = self.counts[level, y][cells]
-            history = np.full(len(cells), self.total[y]) if level == 0 else self.counts[level - 1, y][up]
-            types = np.full(len(cells), self.first_types[y]) if level == 0 else self.types[level, y][up]
-            if own is not None and label == 1 - y:
-                mine, times = own[level]
-                only = mine[self.counts[level, y][mine] <= times]  # cells that no other text of the class has
-                count = np.maximum(count - _looked_up(mine, times, cells), 0)
-                if level == 0:
-                    history, types = history - times.sum(), types - len(only)
-                else:
-                    history = history - _looked_up(*own[level - 1], up)
-                    types = types - _looked_up(*np.unique(self.parent[level][only], return_counts=True), up)
-                history, types = np.maximum(history, 0), np.maximum(types, 0)
-            logs.append(np.log(np.maximum(_kn(count, history, types, shared), 1e-12)))
-            seen.append(count > 0)
-        r = logs[0] - logs[1]  # a step that a class never showed does not speak for that class
-        r = np.where(seen[0], r, np.minimum(r, 0))
-        return np.where(seen[1], r, np.maximum(r, 0))
-
-    def features(self, cells: np.ndarray, rows: np.ndarray, n: int, labels: np.ndarray | None = None) -> np.ndarray:
-        """(n, 2): mean log ratio of the words, and the sum over the most telling ones."""
-        if labels is None:
-            r = self.ratio[0][cells[0]] + self.ratio[1][cells[1]] + self.ratio[2][cells[2]]
-        else:
-            r = np.zeros(len(rows))
-            for d in range(n):
-                at = rows == d
-                own = [(u := np.unique(c[at]), np.ones(len(u))) for c in cells]
-                r[at] = sum(self._ratio(level, cells[level][at], own, labels[d]) for level in range(3))
-        r = np.clip(r, -4, 6)
-        out = np.zeros((n, 2))
-        out[:, 0] = np.bincount(rows, r, n) / (np.bincount(rows, minlength=n) + 10)
-        telling = np.flatnonzero(r > 0.5)
-        order = telling[np.lexsort((-r[telling], rows[telling]))]
-        owner = rows[order]
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        top = place < TELLING
-        out[:, 1] = np.bincount(owner[top], r[order][top], n)
-        return out
-
-    def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
-        if not len(y) or y.min() == y.max():
-            share = float(y.mean()) if len(y) else 0.0
-            self.curve = np.array([0, 0, np.log(max(share, 1e-6) / max(1 - share, 1e-6))])
-            return
-        self.center, self.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-        z = np.c_[(x - self.center) / self.scale, np.ones(len(x))]
-        w, ridge = np.zeros(3), np.diag([0.1, 0.1, 1e-6])
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-            w -= step
-            if np.abs(step).max() < 1e-9:
-                break
+    """Log ratios of the steps by key, sorted, and the curve. Its size is bounded by the labelled sample."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ratios = keys[order], ratios[:, order].astype(np.float16)
+        self.curve = np.zeros(2)
+
+    def _at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def differences(self, buffer: np.ndarray, offsets: np.ndarray, whole: bool = True) -> np.ndarray:
+        """Log-likelihood of the toxic model less that of the ordinary one, per word, of each text."""
+        four, six, word, left, rows = _words(buffer, offsets)
+        n = len(offsets) - 1
+        if not len(word) or not len(self.keys):
+            return np.zeros(n)
+        step, end = self.ratios[2:].astype(np.float32) if whole else self.ratios[:2].astype(np.float32)
+        _, once, back = np.unique(word, return_index=True, return_inverse=True)
+        total, open_ = np.zeros(len(once), np.float32), np.ones(len(once), bool)
+        last = np.zeros(len(once), np.uint64)
+        for key in (four[once], six[once], word[once]):
+            at, known = self._at(key)
+            total += np.where(open_ & known, step[at], 0)
+            was, seen = self._at(last)
+            total += np.where(open_ & ~known & seen, end[was], 0)
+            open_ &= known
+            last = key
+        pair = _pairs(left, word)
+        if not hasattr(self, "sieve"):
+            self.sieve = np.zeros(1 << 24, bool)
+            self.sieve[(self.keys >> np.uint64(40)).astype(np.int64)] = True
+        maybe = np.flatnonzero(self.sieve[(pair >> np.uint64(40)).astype(np.int64)])
+        at, known = self._at(pair[maybe])
+        ratio = total[back]
+        ratio[maybe[known]] += step[at[known]]
+        mixture = np.log1p(SHARE * np.expm1(ratio.astype(np.float64)))
+        return np.bincount(rows, mixture, n) / (np.bincount(rows, minlength=n) + PRIOR_WORDS)
+
+    def fit_curve(self, x: np.ndarray, y: np.ndarray, share: float) -> None:
+        """A logistic curve by Newton's steps, with a slight ridge; the share of toxic labels where there is no contrast."""
+        w = np.array([0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6))])
+        x = np.arcsinh(x / SHARE)
+        if len(y) and y.min() < y.max() and x.std() > 0:
+            spread = x.std()
+            z = np.c_[x / spread, np.ones(len(x))]
+            w = np.zeros(2)
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag([0.1, 1e-6]), z.T @ (p - y) + [0.1 * w[0], 0])
+                w -= move
+                if np.abs(move).max() < 1e-9:
+                    break
+            w = np.array([w[0] / spread, w[1]])
         self.curve = w
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.c_[(x - self.center) / self.scale, np.ones(len(x))]
-        return 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] * np.arcsinh(x / SHARE) + self.curve[1], -30, 30)))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "sieve"}
+
+
+def _thinned(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """About that share of the rows, by a hash of their id."""
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Count all documents, and the labelled sample by class; fit the curve."""
-    spark = docs.sparkSession
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sample = spark.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect(), "doc_id long, toxic int")
-    text = F.col("text").cast("binary").alias("text")
-    marked = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id", "left").select("text", "toxic")
-    summed = marked.mapInArrow(_count_batches, "block int, counts binary").repartition("block").mapInArrow(_sum_batches, "block int, counts binary")
-    counts = np.zeros((3, 4, CELLS // STRIDE, STRIDE), np.int64)
-    for r in summed.toLocalIterator():  # a fixed number of blocks
-        counts[r.block // 1000, :, r.block % 1000] = np.frombuffer(r.counts, np.int64).reshape(4, STRIDE)
-    model = Model(counts.reshape(3, 4, CELLS))
-    held = spark.sparkContext.broadcast(model)
-    few = spark.createDataFrame(sample.orderBy(F.xxhash64("doc_id", F.lit(1))).limit(CURVE_ROWS).collect(), "doc_id long, toxic int")
-
-    def curve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buffer, offsets = bw.text_buffer(batch.column("text"))
-            label = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for a in range(batch.num_rows):  # one by one, each without its own counts
-                cells, word_rows = word_cells(buffer[offsets[a] : offsets[a + 1]], offsets[a : a + 2] - offsets[a])
-                x = held.value.features(cells, word_rows, 1, label[a : a + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(label[a : a + 1])], ["a", "b", "y"])
-
-    points = docs.select("doc_id", text).join(F.broadcast(few), "doc_id").select("text", "toxic").mapInArrow(curve_batches, "a double, b double, y int").toPandas()
-    model.fit_curve(points[["a", "b"]].to_numpy(), points["y"].to_numpy())
+    """Count contexts over all documents and steps over the labelled sample; fit the curve."""
+    marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(marked, "doc_id")
+    found = known.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if((F.col("toxic") == 1)).alias("toxic")).first()
+    share, bytes_ = found.share or 0.0, found.bytes or 0
+    if not found.toxic or found.toxic == found.n:
+        model = Model(np.zeros(0, np.uint64), np.zeros((4, 0)))
+        model.fit_curve(np.zeros(0), np.zeros(0), share)
+        return model
+    part = min(1.0, rows / found.n, TRAIN_BYTES / max(bytes_, 1))
+    curve = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    sample = _written(_thinned(known, part, 0).withColumn("curve", curve), "labelled")
+    events = sample.mapInArrow(_event_batches, EVENT)
+    ratios = step_ratios(events, _written(contexts(docs), "contexts")).toArrow()
+    keys = ratios.column("key").to_numpy().view(np.uint64)
+    model = Model(keys, np.stack([ratios.column(c).to_numpy() for c in RATIOS]))
+    del ratios, keys
+    few = _thinned(sample.filter("curve"), 5 * CURVE_ROWS / max(part * found.n, 1), 1)
+    points = _differences(few.select("toxic", "text"), model, False, "toxic int").toArrow()
+    model.fit_curve(points.column("x").to_numpy(), points.column("toxic").to_numpy(), share)
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _differences(rows: DataFrame, model: Model, whole: bool, columns: str) -> DataFrame:
+    """The other columns and x, the difference of each text; the broadcast goes with the plan."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def batches_scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buffer, offsets = bw.text_buffer(batch.column("text"))
-            out = np.zeros(batch.num_rows)
+            x = np.zeros(batch.num_rows)
             for a, b in bw.blocks(offsets, BLOCK_BYTES):
-                cells, rows = word_cells(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                out[a:b] = held.value.score(held.value.features(cells, rows, b - a))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"), pa.array(out)], ["doc_id", "tk", "score"])
+                x[a:b] = held.value.differences(buffer[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], whole)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x), pa.array(held.value.score(x))], [*names, "x", "score"])
+
+    return rows.mapInArrow(batches_scored, f"{columns}, x double, score double")
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.col("text").cast("binary").alias("text"))
-    scored = rows.mapInArrow(batches_scored, "doc_id long, tk long, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, tk (text key), score and predicted of every document."""
+    rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("tk"), F.col("text").cast("binary").alias("text"))
+    scored = _differences(rows, model, True, "doc_id long, tk long")
+    return scored.select("doc_id", "tk", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
