@@ -10,15 +10,21 @@ around a piece instead of one row for each byte. Runs whose piece occurs once ar
 alike in all their bytes are joined into one representative with a count, and only the bytes of
 representatives that still share a piece with others travel to the remaining digit passes.
 
-Hashes have 64 bits. Null texts count as empty: nothing is removed. Texts shorter than DEPTH keep
-all their bytes. Repeated rows are repeats of each other, so their long texts go entirely. Very
-long texts are cut into overlapping pieces for the scan only. Other columns are ignored.
+The same passes run over words (lowered, letters and digits) with a threshold of 50 words; there a
+word counts if its window stands in another document as well. Nothing is removed for that reason.
+
+Strings are equal where two independent 64-bit hashes agree, that of the piece and that of the rest.
+Null texts count as empty: nothing is removed. Texts shorter than DEPTH keep all their bytes.
+Repeated rows are repeats of each other, so their long texts go entirely; for words, rows with the
+same id and text are one document. Very long texts are cut into overlapping pieces for the scan
+only. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +34,47 @@ from pyspark.sql import functions as F
 from fieldweave.llm import bytewords as bw
 from fieldweave.llm.common import checkpointed, text_key
 
-DEPTH, GRAM, DIGIT = 400, 128, 100
-#: Bytes scanned at once; positions must fit in the low bits of a hash.
+#: Units scanned at once; positions must fit in the low bits of a hash.
 PIECE, LOW_BITS = 1 << 20, np.uint64(21)
 #: Contexts of one piece up to which they are refined in one task; beyond, suffixes are grouped by Spark.
-TOGETHER = 12_000
+TOGETHER = 256
 #: Bytes of contexts that a task refines at once, if its groups are not larger.
 REFINE_BYTES = 2 << 20
+CONTEXT = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: their threshold, the piece and digit lengths, and whether repeats must lie across documents."""
+
+    depth: int
+    gram: int
+    digit: int
+    words: bool = False
+
+    def values(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One 64-bit value a unit, and the rows' bounds in them."""
+        if not self.words:
+            return bw.LETTER[data], offsets
+        low, starts, ends, rows = bw.words(data, offsets)
+        return bw.span_hashes(low, starts, ends), np.append(0, np.cumsum(np.bincount(rows, minlength=len(offsets) - 1)))
+
+    def cut(self, data: bytes) -> np.ndarray:
+        """The units of a text, as they travel."""
+        flat = np.frombuffer(data, np.uint8)
+        return self.values(flat, np.array([0, len(flat)]))[0] if self.words else flat
+
+    def read(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, np.uint64) if self.words else bw.LETTER[np.frombuffer(data, np.uint8)]
+
+    @property
+    def size(self) -> int:
+        return 8 if self.words else 1
+
+
+BYTES = Unit(400, 128, 100)
+DEPTH = BYTES.depth
+WORDS = Unit(50, 16, 10, True)
 
 
 def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -48,22 +88,22 @@ def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs_of(values: np.ndarray, offsets: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
     """Runs of suffixes that share their smallest piece: row, first and last start, piece, context."""
-    n, w = len(data), DEPTH - GRAM + 1
+    n, depth, gram = len(values), unit.depth, unit.gram
     none = np.zeros(0, np.int64)
-    if n < DEPTH:
+    if n < depth:
         return none, none, none, none, none
     up, down = bw.powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(bw.LETTER[data] * up[:-1], out=total[1:])
-    grams = bw.mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+    np.cumsum(values * up[:-1], out=total[1:])
+    grams = bw.mixed((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     place = np.arange(len(grams), dtype=np.uint64)
-    least = _window_minima((grams >> LOW_BITS << LOW_BITS) | place, w)
+    least = _window_minima((grams >> LOW_BITS << LOW_BITS) | place, depth - gram + 1)
     anchor = (least & np.uint64((1 << int(LOW_BITS)) - 1)).astype(np.int64)
     start = np.arange(len(anchor))
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-    whole = start + DEPTH <= offsets[row + 1]
+    whole = start + depth <= offsets[row + 1]
     new = np.empty(len(anchor), bool)
     new[0] = True
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (whole[1:] != whole[:-1])
@@ -71,108 +111,156 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(anchor)) - 1
     keep = whole[first]
     first, last = first[keep], last[keep]
-    end = last + DEPTH
+    end = last + depth
+    # other values than the piece's, so that both hashes clash only by chance of 2 ** -128
+    np.cumsum(bw.mixed(values ^ CONTEXT) * up[:-1], out=total[1:])
     context = bw.mixed((total[end] - total[first]) * down[first] + ((anchor[first] - first) * 65536 + end - first).astype(np.uint64))
     r = row[first]
     return r, first - offsets[r], last - offsets[r], grams[anchor[first]].view(np.int64), context.view(np.int64)
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_batches(unit: Unit):
     names = ["doc_id", "tk", "first", "last", "gram", "ctx"]
-    for batch in batches:
-        data, offsets = bw.text_buffer(batch.column("text"))
-        for a, b in bw.blocks(offsets, PIECE):
-            lo, hi = offsets[a], offsets[b]
-            for cut in range(lo, max(lo + 1, hi - DEPTH + 1), PIECE):  # one piece, but for a very long text
-                end = hi if b > a + 1 else min(hi, cut + PIECE + DEPTH - 1)
-                part = offsets[a : b + 1] - lo if b > a + 1 else np.array([0, end - cut])
-                row, first, last, gram, ctx = runs_of(data[cut:end], part)
-                if len(row):
-                    take = pa.array(a + row)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("tk").take(take), pa.array((first + (cut - lo)).astype(np.int32)), pa.array((last + (cut - lo)).astype(np.int32)), pa.array(gram), pa.array(ctx)], names)
-                if b > a + 1:
-                    break
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = bw.text_buffer(batch.column("text"))
+            for a, b in bw.blocks(offsets, PIECE):
+                part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                if unit.words:
+                    part, bounds = unit.values(part, bounds)
+                for cut in range(0, max(1, len(part) - unit.depth + 1), PIECE):  # one, but for a very long text
+                    long = len(part) > PIECE and b == a + 1
+                    held = part[cut : cut + PIECE + unit.depth - 1] if long else part
+                    row, first, last, gram, ctx = runs_of(held if unit.words else bw.LETTER[held], np.array([0, len(held)]) if long else bounds, unit)
+                    if len(row):
+                        take = pa.array(a + row)
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("tk").take(take), pa.array((first + cut).astype(np.int32)), pa.array((last + cut).astype(np.int32)), pa.array(gram), pa.array(ctx)], names)
+                    if not long:
+                        break
+
+    return kernel
 
 
-def runs(keyed: DataFrame) -> DataFrame:
-    return keyed.mapInArrow(_run_batches, "doc_id long, tk long, first int, last int, gram long, ctx long")
+def runs(keyed: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    return keyed.mapInArrow(_run_batches(unit), "doc_id long, tk long, first int, last int, gram long, ctx long")
 
 
-def _suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _cut_batches(unit: Unit):
+    """The units of the wanted contexts of each text."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                units = unit.cut(batch.column("text")[i].as_py() or b"")
+                parts = batch.column("parts")[i].values
+                first, size = (parts.field(c).to_numpy() for c in ("first", "size"))
+                pieces = pa.array([units[x : x + n].tobytes() for x, n in zip(first.tolist(), size.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(parts.field(c) for c in ("gram", "ctx", "k", "low", "high")), pieces], ["gram", "ctx", "k", "low", "high", "units"])
+
+    return kernel
+
+
+def _suffixes(texts: list[bytes], unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Prefix sums of the joined contexts, powers by place in a context; start, place and context of each suffix."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    lengths = np.array([len(t) for t in texts])
+    values = unit.read(b"".join(texts))
+    lengths = np.array([len(t) for t in texts]) // unit.size
     begins = np.cumsum(lengths) - lengths
     up, down = bw.powers(int(lengths.max()) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(bw.LETTER[data] * up[np.arange(len(data)) - np.repeat(begins, lengths)], out=total[1:])
-    counts = lengths - DEPTH + 1
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[np.arange(len(values)) - np.repeat(begins, lengths)], out=total[1:])
+    counts = lengths - unit.depth + 1
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
     place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
     return total, down, (place + begins[owner]).astype(np.int32), place, owner
 
 
-def repeated_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset in it) of the suffixes whose first DEPTH bytes occur more than once."""
-    total, down, start, place, owner = _suffixes(texts)
-    key = np.zeros(len(start), np.uint64)
-    for depth in range(0, DEPTH, DIGIT):
-        digit = (total[start + (depth + DIGIT)] - total[start + depth]) * down[place + depth]
+def repeated_suffixes(texts: list[bytes], unit: Unit = BYTES, groups: np.ndarray | None = None, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset in it) of the suffixes whose first units occur more than once in a group of contexts.
+
+    With low and high, the least and greatest document of each context, they must occur in two documents.
+    """
+    total, down, start, place, owner = _suffixes(texts, unit)
+    key = np.zeros(len(start), np.uint64) if groups is None else bw.mixed(groups.view(np.uint64))[owner]
+    for depth in range(0, unit.depth, unit.digit):
+        digit = (total[start + (depth + unit.digit)] - total[start + depth]) * down[place + depth]
         key = bw.mixed(key + digit * np.uint64(0xD6E8FEB86659FD93))
         order = np.argsort(key, kind="stable")
         k = key[order]
         same = np.zeros(len(k) + 1, bool)
         same[1:-1] = k[1:] == k[:-1]
-        left = np.sort(order[same[1:] | same[:-1]])
+        if low is not None and depth + unit.digit >= unit.depth and len(k):
+            begin = np.flatnonzero(~same[:-1])
+            docs = owner[order]
+            apart = np.minimum.reduceat(low[docs], begin) != np.maximum.reduceat(high[docs], begin)
+            left = np.sort(order[np.repeat(apart, np.diff(np.append(begin, len(k))))])
+        elif low is not None:  # a context may stand for several documents
+            left = np.sort(order[same[1:] | same[:-1] | (low != high)[owner[order]]])
+        else:
+            left = np.sort(order[same[1:] | same[:-1]])
         key, start, place, owner = key[left], start[left], place[left], owner[left]
     return owner, place
 
 
-def _covers(owner: np.ndarray, offset: np.ndarray, n: int) -> list[list[int]]:
-    """Flat [start, end, ...] of the bytes that the suffixes cover, for each context."""
+def _covers(owner: np.ndarray, offset: np.ndarray, n: int, depth: int) -> list[list[int]]:
+    """Flat [start, end, ...] of the units that the suffixes cover, for each context."""
     out: list[list[int]] = [[] for _ in range(n)]
     if len(owner):
-        new = np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] - offset[:-1] > DEPTH))
+        new = np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] - offset[:-1] > depth))
         s = np.flatnonzero(new)
         e = np.append(s[1:], len(owner)) - 1
-        for o, x, y in zip(owner[s].tolist(), offset[s].tolist(), (offset[e] + DEPTH).tolist()):
+        for o, x, y in zip(owner[s].tolist(), offset[s].tolist(), (offset[e] + depth).tolist()):
             out[o] += [x, y]
     return out
 
 
-def _refine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _refine_batches(unit: Unit):
     """Batches sorted by piece; contexts that share a piece are refined together."""
-    held: list[tuple[int, int, bytes]] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        owner, offset = repeated_suffixes([x[2] for x in held])
-        return pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array(_covers(owner, offset, len(held)), pa.list_(pa.int32()))], ["ctx", "cover"])
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "ctx", "bytes"))):
-            if held and row[1] == held[-1][1]:
-                continue  # the same context, fetched from a repeated row
-            if size > REFINE_BYTES and row[0] != held[-1][0]:
-                yield out()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[2])
-    if held:
-        yield out()
-
-
-def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            total, down, start, place, owner = _suffixes(part.column("bytes").to_pylist())
-            key = bw.mixed((total[start + DEPTH] - total[start]) * down[place]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("ctx").take(pa.array(owner)), pa.array(place), pa.array(key)], ["ctx", "offset", "key"])
 
-
-def _cover_offsets(offsets):
-    return [x for y in _covers(np.zeros(len(offsets), np.int64), np.sort(np.asarray(offsets, np.int64)), 1) for x in y]
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        gram, ctx, low, high, texts = (list(x) for x in zip(*held))
+        bounds = (np.array(low), np.array(high)) if unit.words else (None, None)
+        owner, offset = repeated_suffixes(texts, unit, np.array(gram), *bounds)
+        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ctx, pa.int64()), pa.array(_covers(owner, offset, len(held), unit.depth), pa.list_(pa.int32()))], ["gram", "ctx", "cover"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "ctx", "low", "high", "units"))):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # the same context, fetched from a repeated row
+                if size > REFINE_BYTES and row[0] != held[-1][0]:
+                    yield out(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield out(held)
+
+    return kernel
+
+
+def _suffix_batches(unit: Unit):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                total, down, start, place, owner = _suffixes(part.column("units").to_pylist(), unit)
+                key = bw.mixed((total[start + unit.depth] - total[start]) * down[place]).view(np.int64)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("gram", "ctx", "low", "high")), pa.array(place), pa.array(key)], ["gram", "ctx", "low", "high", "offset", "key"])
+
+    return kernel
+
+
+def _length(flat: list[int]) -> int:
+    """Units under any of the stretches."""
+    n = at = 0
+    for s, e in sorted(zip(flat[::2], flat[1::2])):
+        n += max(0, e - max(s, at))
+        at = max(at, e)
+    return n
 
 
 def _finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,45 +278,55 @@ def _finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 at = max(at, e)
             kept.update(text[at:])
             removed.append(gone), spans.append(n), size.append(len(text)), digest.append(kept.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        shared = [_length(x or []) for x in batch.column("shared").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string()), pa.array(shared, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("tk"), F.col("text").cast("binary").alias("text"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, tk, covers: flat [start, end, ...] of the repeated bytes of each document with any."""
-    keyed = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("tk"), F.col("text").cast("binary").alias("text"))
-    every = runs(keyed)
-    # written first, so that the join below has a shuffle on either side and hot pieces can be split
+def repeats(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """doc_id, tk, cover: flat [start, end, ...] of repeated units, some rows for each document with any."""
+    keyed = _keyed(docs)
+    every = runs(keyed, unit)
+    # written first, so that the joins below have a shuffle on either side and hot pieces can be split
     shared = checkpointed(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     left = checkpointed(every.join(shared, "gram", "left_semi"))
-    size = F.col("last") - F.col("first") + DEPTH
-    ctxs = left.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "first", size.alias("size"))).alias("rep"))
+    size = F.col("last") - F.col("first") + unit.depth
+    document = F.xxhash64("doc_id", "tk")
+    ctxs = left.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(document).alias("low"), F.max(document).alias("high"), F.min(F.struct("doc_id", "tk", "first", size.alias("size"))).alias("rep"))
     ctxs = checkpointed(ctxs)
-    mixed_grams = ctxs.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    todo = ctxs.join(mixed_grams, "gram").select("gram", "ctx", "k", "rep.*")
-    by_doc = todo.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("gram", "ctx", "k", "first", "size")).alias("parts"))  # bounded by the document
-    texts = keyed.withColumnsRenamed({"doc_id": "d2", "tk": "t2"}).join(by_doc, F.col("d2").eqNullSafe(by_doc.doc_id) & (F.col("t2") == by_doc.tk))
-    cut = F.transform("parts", lambda p: F.struct(p["gram"].alias("gram"), p["ctx"].alias("ctx"), p["k"].alias("k"), F.col("text").substr(p["first"] + 1, p["size"]).alias("bytes")))
-    parts = texts.select(F.explode(cut).alias("p")).select("p.*").repartition("gram")
-    refined = parts.filter(F.col("k") <= TOGETHER).sortWithinPartitions("gram", "ctx")
-    covers = refined.mapInArrow(_refine_batches, "ctx long, cover array<int>")
-    if mixed_grams.filter(F.col("k") > TOGETHER).limit(1).count():
-        suffixes = checkpointed(parts.filter(F.col("k") > TOGETHER).mapInArrow(_suffix_batches, "ctx long, offset int, key long"))
-        often = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        flat = F.udf(_cover_offsets, "array<int>")
-        covers = covers.union(suffixes.join(often, "key", "left_semi").groupBy("ctx").agg(F.collect_list("offset").alias("o")).select("ctx", flat("o").alias("cover")))
-    covers = covers.filter(F.size("cover") > 0).groupBy("ctx").agg(F.first("cover").alias("cover"))
-    whole = ctxs.filter("n > 1").select("ctx", F.array(F.lit(0), F.col("rep.size")).alias("cover"))
-    found = whole.union(covers.join(whole, "ctx", "left_anti"))
-    placed = left.join(found, "ctx").select("doc_id", "tk", F.transform("cover", lambda x: x + F.col("first")).alias("cover"))
-    return placed.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("cover")).alias("covers"))
+    mixed_grams = checkpointed(ctxs.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    todo = ctxs.join(mixed_grams, "gram").select("gram", "ctx", "k", "low", "high", "rep.*")
+    by_doc = todo.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("gram", "ctx", "k", "low", "high", "first", "size")).alias("parts"))  # bounded by the document
+    texts = keyed.withColumnsRenamed({"doc_id": "d2", "tk": "t2"}).join(by_doc, F.col("d2").eqNullSafe(by_doc.doc_id) & (F.col("t2") == by_doc.tk)).select("text", "parts")
+    parts = texts.mapInArrow(_cut_batches(unit), "gram long, ctx long, k long, low long, high long, units binary")
+    few, many = F.col("k") <= TOGETHER, F.col("k") > TOGETHER
+    covers = parts.filter(few).repartition("gram").sortWithinPartitions("gram", "ctx").mapInArrow(_refine_batches(unit), "gram long, ctx long, cover array<int>")
+    if mixed_grams.filter(many).limit(1).count():
+        suffixes = checkpointed(parts.filter(many).mapInArrow(_suffix_batches(unit), "gram long, ctx long, low long, high long, offset int, key long"))
+        told = F.min("low") < F.max("high") if unit.words else F.count(F.lit(1)) > 1
+        often = checkpointed(suffixes.groupBy("gram", "key").agg(told.alias("often")).filter("often").select("gram", "key"))
+        held = suffixes.join(often, ["gram", "key"], "left_semi").groupBy("gram", "ctx").agg(F.array_sort(F.collect_set("offset")).alias("o"))
+        apart = lambda x, y: y - x > unit.depth
+        begin = F.filter("o", lambda x, i: (i == 0) | apart(F.get("o", i - 1), x))
+        end = F.transform(F.filter("o", lambda x, i: (i == F.size("o") - 1) | apart(x, F.get("o", i + 1))), lambda x: x + unit.depth)
+        covers = covers.union(held.select("gram", "ctx", F.flatten(F.zip_with(begin, end, lambda x, y: F.array(x, y))).alias("cover")))
+    covers = covers.filter(F.size("cover") > 0).groupBy("gram", "ctx").agg(F.first("cover").alias("cover"))
+    whole = ctxs.filter("low < high" if unit.words else "n > 1").select("gram", "ctx", F.array(F.lit(0), F.col("rep.size")).alias("cover"))
+    found = checkpointed(whole.union(covers.join(whole, ["gram", "ctx"], "left_anti")))
+    return left.join(found, ["gram", "ctx"]).select("doc_id", "tk", F.transform("cover", lambda x: x + F.col("first")).alias("cover"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """One row per document: bytes, bytes removed, removed runs and the digest of what is kept."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("d2"), text_key(F.col("text")).alias("t2"), F.col("text").cast("binary").alias("text"))
-    found = repeats(docs)
-    both = keyed.join(found, F.col("d2").eqNullSafe(found.doc_id) & (F.col("t2") == found.tk), "left").select(F.col("d2").alias("doc_id"), "text", "covers")
-    return both.mapInArrow(_finish_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """One row per document: bytes, bytes removed, removed runs, the digest of what is kept, and words shared with others."""
+    keyed = _keyed(docs).withColumnsRenamed({"doc_id": "d2", "tk": "t2"})
+    none = F.lit(None).cast("array<int>")
+    both = repeats(docs).withColumn("shared", none).unionByName(repeats(docs, WORDS).select("doc_id", "tk", none.alias("cover"), F.col("cover").alias("shared")))
+    found = both.groupBy("doc_id", "tk").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("cover", "shared")))  # bounded by the document
+    rows = keyed.join(found, F.col("d2").eqNullSafe(found.doc_id) & (F.col("t2") == found.tk), "left").select(F.col("d2").alias("doc_id"), "text", F.col("cover").alias("covers"), "shared")
+    return rows.mapInArrow(_finish_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
