@@ -9,9 +9,11 @@ their own. Of splits with equal scores the one whose last piece is longest wins.
 Models whose scores are merge ranks carry no log scores; theirs follow Zipf's law from the rank.
 A literal marker in a text is written as bytes, so decoding gives every text back exactly.
 
-Null texts stay null: no pieces, null decoding. An empty text has no pieces and decodes to itself.
+Null texts stay null: no pieces, null ids, null decoding. An empty text has no pieces, empty ids and
+decodes to itself. Very long texts are coded whole, stretch by stretch. An empty table gives no rows.
 Lone surrogates can't occur in Spark's UTF-8 strings. Repeated rows are coded alike; other columns
-are ignored.
+are ignored, whatever their names. The model file is read once on the driver, and its bytes are
+broadcast (some hundred KB); each worker builds the trie from them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import re
 import string
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -136,15 +139,16 @@ class PieceModel:
 
     @classmethod
     def from_file(cls, path: str) -> PieceModel:
+        return cls.from_bytes(Path(path).read_bytes())
+
+    @classmethod
+    def from_bytes(cls, content: bytes) -> PieceModel:
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = sentencepiece.SentencePieceProcessor(model_proto=content)
         kind = lambda i: "byte" if m.is_byte(i) else "control" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal"
         return cls([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())])
 
-    def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
-
     def split(self, stretch: str) -> tuple[list[int], int, float]:
         """Piece ids, number of byte pieces and log score of the best split of a stretch."""
         text = stretch.encode()
@@ -259,46 +263,61 @@ class PieceModel:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:] if ids else ""
 
 
-def _coded(docs: DataFrame, model: PieceModel, keep_ids: bool) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, n_pieces long, n_byte_pieces long, log_score double, " + ("ids array<int>" if keep_ids else "ids_sha256 string, decoded_sha256 string, round_trip boolean")
+_built: dict[bytes, PieceModel] = {}
+
+
+def _model(content: bytes) -> PieceModel:
+    """The model of this worker; the last one is kept."""
+    if content not in _built:
+        _built.clear()
+        _built[content] = PieceModel.from_bytes(content)
+    return _built[content]
+
+
+CODED = "doc_id long, n_pieces long, n_byte_pieces long, log_score double, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+
+def _coded(docs: DataFrame, model_path: str) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def batches_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = _model(held.value)
+        digest = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                counts, fallen, scores, a, b, c = [], [], [], [], [], []
                 texts = part.column("text").to_pylist()
-                for text, (ids, score, low) in zip(texts, m.encode_many(texts)):
-                    counts.append(len(ids)), fallen.append(low), scores.append(score)
-                    codes = np.array(ids, np.int32)
-                    if keep_ids:
-                        a.append(codes)
-                        continue
-                    back = m.decode(ids) if text is not None else None
-                    a.append(hashlib.sha256(codes.astype("<i4").tobytes()).hexdigest())
-                    b.append(None if back is None else hashlib.sha256(back.encode()).hexdigest())
-                    c.append(back == text)
-                last = [pa.array(a, pa.list_(pa.int32()))] if keep_ids else [pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.bool_())]
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(fallen, pa.int64()), pa.array(scores, pa.float64()), *last], names)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches_coded, schema)
+                codes, scores, fallen = zip(*m.encode_many([t or "" for t in texts]))
+                arrays = [None if t is None else np.array(c, np.int32) for t, c in zip(texts, codes)]
+                back = [None if t is None else m.decode(c) for t, c in zip(texts, codes)]
+                columns = [
+                    part.column("doc_id"),
+                    pa.array(map(len, codes), pa.int64()),
+                    pa.array(fallen, pa.int64()),
+                    pa.array(map(float, scores), pa.float64()),
+                    pa.array(arrays, pa.list_(pa.int32())),
+                    pa.array([None if x is None else digest(x.astype("<i4").tobytes()) for x in arrays], pa.string()),
+                    pa.array([None if x is None else digest(x.encode()) for x in back], pa.string()),
+                    pa.array([x == t for x, t in zip(back, texts)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CODED.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches_coded, CODED)
 
 
 def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, n_byte_pieces, log_score and ids of every document."""
-    return _coded(docs, PieceModel.from_file(model_path), True)
+    """doc_id, n_pieces, n_byte_pieces, log_score and ids of every document, the digests of the ids and of what
+    they decode to, and whether that is the text (round_trip)."""
+    return _coded(docs, model_path)
 
 
 def decode(coded: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id and text of coded documents (columns doc_id, ids)."""
-    held = coded.sparkSession.sparkContext.broadcast(PieceModel.from_file(model_path))
+    """doc_id and text of coded documents (columns doc_id, ids); null ids stay null."""
+    held = coded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def batches_decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else held.value.decode(x) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else _model(held.value).decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(batches_decoded, "doc_id long, text string")
@@ -306,4 +325,4 @@ def decode(coded: DataFrame, model_path: str = MODEL) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the pieces of every document and of what they decode to."""
-    return _coded(spark.read.parquet(f"{sf_dir}/documents.parquet"), PieceModel.from_file(MODEL), False)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

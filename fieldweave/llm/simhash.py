@@ -8,9 +8,9 @@ Equal fingerprints are collapsed first, so copies cost nothing. Inside a bucket
 by a breadth-first search that only writes the links of a spanning forest, which keeps every
 component and never all pairs; a large bucket is cut again by variants of the other half's halves.
 
-Null texts count as empty. Texts without words have fingerprint zero and link like any other.
-Repeated rows get equal results. A component whose ids are all null has a null id. Empty tables
-give no rows. Other columns are ignored.
+Null texts count as empty. Texts without words have fingerprint zero and link like any other. Very
+long texts are read whole, BLOCK shingles at a time. Repeated rows get equal results. A component
+whose ids are all null has a null id. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,26 +169,28 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, tk, fp and component_id of every document."""
+    """doc_id, tk, fp, root (the component's least fingerprint) and component_id of every document."""
     prints = checkpointed(fingerprints(docs))
     one = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(prints))
     rooted = one.join(roots, one.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "tk", "fp", "component_id")
+    by_print = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "tk", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest id, with all its columns."""
-    member = classes(docs)
+    """One document of each component, that of the smallest id, with all its columns.
+
+    Ids that are null come last; of equal ids the text with the smaller key stays, and of rows that are equal in
+    both the first by the hash of all columns. Reserved names: __fw_tk, __fw_n.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("m")
-    # components without any id are told apart by their fingerprints' root only through tk
-    keep = member.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first).select(F.col("m.doc_id").alias("id2"), F.col("m.tk").alias("tk2"))
-    keyed = docs.withColumn("__tk", text_key(F.col("text")))
-    kept = keyed.join(keep, keyed.doc_id.eqNullSafe(keep.id2) & (F.col("__tk") == keep.tk2), "left_semi")
-    n = F.row_number().over(Window.partitionBy("doc_id", "__tk").orderBy(F.lit(0)))
-    return kept.withColumn("__n", n).filter("__n = 1").drop("__n", "__tk")
+    keep = classes(docs).groupBy("root").agg(first).select(F.col("m.doc_id").alias("__fw_id"), F.col("m.tk").alias("__fw_key"))
+    keyed = docs.withColumn("__fw_tk", text_key(F.col("text")))
+    kept = keyed.join(keep, keyed.doc_id.eqNullSafe(keep["__fw_id"]) & (F.col("__fw_tk") == keep["__fw_key"]), "left_semi")
+    n = F.row_number().over(Window.partitionBy("doc_id", "__fw_tk").orderBy(F.xxhash64(*docs.columns)))
+    return kept.withColumn("__fw_n", n).filter("__fw_n = 1").drop("__fw_n", "__fw_tk")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
