@@ -1,10 +1,14 @@
 """Cleaning a corpus in five stages, each on what the one before kept.
 
 Toxic documents go; one document of each SimHash component stays; documents that hold a benchmark
-window go; secrets are blotted out; what is left is encoded into SentencePiece pieces. All stages
-but the last return the columns of documents. Nulls, empty texts, repeated rows and empty tables
-follow the operators' own rules: a document without a null-free id is kept unless a stage's
-decision falls on it.
+window go; secrets are blotted out; what is left is encoded into SentencePiece pieces, and decoded
+again as a check (round_trip). All stages but the last return the columns of documents; columns
+whose names begin with two underscores and ``fw`` are reserved, others may have any name.
+
+Documents are told apart by id and text. A null id or text is a value like any other: such rows are
+judged by every stage, null texts as empty ones (they stay null). Of repeated rows one stays, as of
+any near copies. Very long texts are judged whole. An empty table, of documents, labels or benchmark
+items, passes through: no labels, no toxic rejections; no items, no contamination.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ from fieldweave.llm.common import shared_path, text_key
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Documents whose id and text (by key) are not among the rejected."""
-    gone = rejected.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__gone")).distinct()
-    keyed = docs.withColumn("__tk", text_key(F.col("text")))
-    return keyed.join(gone, keyed.doc_id.eqNullSafe(gone["__id"]) & (F.col("__tk") == gone["__gone"]), "left_anti").drop("__tk")
+    gone = rejected.select(F.col("doc_id").alias("__fw_id"), F.col("tk").alias("__fw_gone")).distinct()
+    keyed = docs.withColumn("__fw_tk", text_key(F.col("text")))
+    return keyed.join(gone, keyed.doc_id.eqNullSafe(gone["__fw_id"]) & (F.col("__fw_tk") == gone["__fw_gone"]), "left_anti").drop("__fw_tk")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +49,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs)
+    return pieces.encode(docs).drop("ids_sha256", "decoded_sha256")
 
 
 STAGES = [
