@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import bytewords as bw
-from fieldweave.llm.common import checkpointed, text_key
+from fieldweave.llm.common import checkpointed, release, text_key
 
 #: Units scanned at once; positions must fit in the low bits of a hash.
 PIECE, LOW_BITS = 1 << 20, np.uint64(21)
 #: Contexts of one piece up to which they are refined in one task; beyond, suffixes are grouped by Spark.
-TOGETHER = 256
+TOGETHER = 12_000
 #: Bytes of contexts that a task refines at once, if its groups are not larger.
 REFINE_BYTES = 2 << 20
 CONTEXT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -293,6 +293,7 @@ def repeats(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     # written first, so that the joins below have a shuffle on either side and hot pieces can be split
     shared = checkpointed(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     left = checkpointed(every.join(shared, "gram", "left_semi"))
+    release(docs.sparkSession)
     size = F.col("last") - F.col("first") + unit.depth
     document = F.xxhash64("doc_id", "tk")
     ctxs = left.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(document).alias("low"), F.max(document).alias("high"), F.min(F.struct("doc_id", "tk", "first", size.alias("size"))).alias("rep"))
@@ -316,6 +317,7 @@ def repeats(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     covers = covers.filter(F.size("cover") > 0).groupBy("gram", "ctx").agg(F.first("cover").alias("cover"))
     whole = ctxs.filter("low < high" if unit.words else "n > 1").select("gram", "ctx", F.array(F.lit(0), F.col("rep.size")).alias("cover"))
     found = checkpointed(whole.union(covers.join(whole, ["gram", "ctx"], "left_anti")))
+    release(docs.sparkSession)
     return left.join(found, ["gram", "ctx"]).select("doc_id", "tk", F.transform("cover", lambda x: x + F.col("first")).alias("cover"))
 
 
