@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import bytewords as bw
-from fieldweave.llm.common import shared_path, text_key
+from fieldweave.llm.common import checkpointed, release, shared_path, text_key
 
 #: Bounds on the labelled rows that the fit takes, on their bytes, and on the rows of the curve.
-TRAIN_ROWS, TRAIN_BYTES, CURVE_ROWS = 20_000, 40_000_000, 10_000
+TRAIN_ROWS, TRAIN_BYTES, CURVE_ROWS = 20_000, 30_000_000, 10_000
 #: Discounts of steps that one, two, or more texts of a class show.
 DISCOUNTS = (0.9, 1.4, 1.6)
 #: Share of toxic words in the model of a toxic text.
@@ -168,6 +168,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 def step_ratios(events: DataFrame, corpus: DataFrame) -> DataFrame:
     """key and RATIOS of the steps that labelled texts show; key 0 stands for the empty history."""
+    spark = events.sparkSession
     classes = {"t1": F.col("t"), "o1": F.col("o"), "t": F.col("t") + F.col("t1"), "o": F.col("o") + F.col("o1")}
     seen = _written(events.groupBy("level", "a", "b").agg(*(F.sum(c).alias(c) for c in classes)), "steps").select("level", "a", "b", *(v.cast("double").alias(c) for c, v in classes.items()))
     by = _written(seen.groupBy("level", "a").agg(*(F.sum(c).alias(f"h_{c}") for c in classes), *(F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in classes)), "histories")
@@ -185,6 +186,7 @@ def step_ratios(events: DataFrame, corpus: DataFrame) -> DataFrame:
     counts += [corpus.groupBy(F.col(c).alias("b")).agg(F.sum("n").alias("n")).select(F.lit(i).alias("level"), "b", "n") for i, c in enumerate(("four", "six"))]
     counts = counts[0].unionByName(counts[1]).unionByName(counts[2])
     above = counts.select((F.col("level") + 1).alias("level"), F.col("b").alias("a"), F.col("n").alias("above")).unionByName(corpus.agg(F.sum("n").alias("above")).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("a"), "above"))
+    release(spark)
     steps = seen.filter("level < 3 OR t + o >= 2").join(counts, ["level", "b"], "left").join(above, ["level", "a"], "left").join(by, ["level", "a"])
     shared = F.least(F.when(F.col("level") < 3, F.coalesce("n", F.lit(0.5))).otherwise(1.0) / F.coalesce("above", F.lit(1.0)), F.lit(1.0))
     steps = _written(steps.select("level", "a", "b", *(ratio(discounted(t, shared), discounted(o, shared)).alias(r) for r, t, o in (("r1", "t1", "o1"), ("r", "t", "o")))), "ratios")
@@ -268,8 +270,8 @@ def _thinned(rows: DataFrame, share: float, seed: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Count contexts over all documents and steps over the labelled sample; fit the curve."""
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(marked, "doc_id")
-    found = known.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if((F.col("toxic") == 1)).alias("toxic")).first()
+    sized = docs.select(F.col("doc_id").cast("long"), F.octet_length("text").alias("size"))  # texts stay where they are
+    found = sized.join(marked, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share"), F.sum("size").alias("bytes"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
     share, bytes_ = found.share or 0.0, found.bytes or 0
     if not found.toxic or found.toxic == found.n:
         model = Model(np.zeros(0, np.uint64), np.zeros((4, 0)))
@@ -277,12 +279,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return model
     part = min(1.0, rows / found.n, TRAIN_BYTES / max(bytes_, 1))
     curve = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    sample = _written(_thinned(known, part, 0).withColumn("curve", curve), "labelled")
+    chosen = checkpointed(_thinned(marked.join(sized.select("doc_id").distinct(), "doc_id", "left_semi"), part, 0))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    # the share was chosen to leave about TRAIN_ROWS ids; more than twice as many are not broadcast
+    sample = _written(texts.join(F.broadcast(chosen) if chosen.count() <= 2 * rows else chosen, "doc_id").withColumn("curve", curve), "labelled")
+    corpus = _written(contexts(docs), "contexts")
+    release(docs.sparkSession)
     events = sample.mapInArrow(_event_batches, EVENT)
-    ratios = step_ratios(events, _written(contexts(docs), "contexts")).toArrow()
+    ratios = step_ratios(events, corpus).toArrow()
     keys = ratios.column("key").to_numpy().view(np.uint64)
     model = Model(keys, np.stack([ratios.column(c).to_numpy() for c in RATIOS]))
     del ratios, keys
+    release(docs.sparkSession)
     few = _thinned(sample.filter("curve"), 5 * CURVE_ROWS / max(part * found.n, 1), 1)
     points = _differences(few.select("toxic", "text"), model, False, "toxic int").toArrow()
     model.fit_curve(points.column("x").to_numpy(), points.column("toxic").to_numpy(), share)
