@@ -34,9 +34,11 @@ def text_key(text: Column) -> Column:
 
 
 def ensure_shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder; a temporary one only in local mode, where driver and executors are one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not found and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="fieldweave-")
     if not sc.getCheckpointDir():

@@ -7,16 +7,18 @@ linear in the parts and no pairs are written out. A document's parts never leave
 nothing is shuffled.
 
 Null texts count as empty: no spans. Offsets are code points, ends exclusive. Equal starts are
-ordered by kind as listed in KINDS. Repeated rows are scanned alike. Other columns are ignored by
-``scan`` and kept by ``redact``.
+ordered by kind as listed in KINDS. Repeated rows are scanned alike. Very long texts are scanned
+whole, in time about linear in their length. An empty table gives no rows. Other columns, whatever
+their names, are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -50,45 +52,37 @@ def base_spans(text: str) -> list[Span]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _near(span: Span, starts: list[int], longest: int, spans: list[Span]) -> bool:
-    """Interval join of one span with sorted spans: does any lie within SCOPE of it?"""
-    k = bisect_left(starts, span[0] - SCOPE - longest)
-    while k < len(starts) and starts[k] <= span[1] + SCOPE:
-        if spans[k][1] + SCOPE >= span[0] and spans[k] is not span:
-            return True
-        k += 1
-    return False
+class _Side:
+    """Spans by start, with the furthest end so far, so that one look-up tells whether any reaches a place."""
 
+    def __init__(self, spans: list[Span]):
+        spans = sorted(spans)
+        self.starts = [s for s, _, _ in spans]
+        self.ends = list(accumulate((e for _, e, _ in spans), max))
 
-def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak candidates whose complementary parts are near."""
-    covered = sorted((s, e) for s, e, _ in base)
-    begins, longest = [s for s, _ in covered], max((e - s for s, e in covered), default=0)
+    def near(self, start: int, end: int, scope: int = SCOPE) -> bool:
+        """Interval join of one span with the side: does any lie within the scope of it?"""
+        k = bisect_right(self.starts, end + scope)
+        return k > 0 and self.ends[k - 1] + scope >= start
 
-    def free(m: re.Match) -> bool:
-        k = bisect_left(begins, m.start() - longest)
-        while k < len(begins) and begins[k] < m.end():
-            if covered[k][1] > m.start():
-                return False
-            k += 1
-        return True
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
 
+
+def linked_spans(text: str, base: list[Span]) -> list[Span]:
+    """Weak candidates whose complementary parts are near."""
+    covered = _Side(base)
+    free = lambda m: not covered.touches(m.start(), m.end())
     endpoints = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
     logins = [(m.start(), m.end(), "login") for m in LOGIN.finditer(text) if free(m)] if ":" in text or "=" in text else []
     if not (base or logins):
         return []
     keys = [(m.start(), m.end(), "key") for m in KEY.finditer(text) if free(m) and re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
-
-    def near_any(spans: list[Span], *sides: list[Span]) -> list[Span]:
-        ready = []
-        for side in sides:
-            side = sorted(side)
-            ready.append(([s for s, _, _ in side], max((e - s for s, e, _ in side), default=0), side))
-        return [x for x in spans if all(_near(x, *side) for side in ready)]
-
-    ids = [x for x in base if x[2] == "access"] + logins
-    secrets = [x for x in base if x[2] != "access"] + keys
-    return near_any(keys, ids) + near_any(logins, secrets) + near_any(endpoints, ids, secrets)
+    ids = _Side([x for x in base if x[2] == "access"] + logins)
+    secrets = _Side([x for x in base if x[2] != "access"] + keys)
+    near = lambda spans, *sides: [x for x in spans if all(side.near(*x[:2]) for side in sides)]
+    return near(keys, ids) + near(logins, secrets) + near(endpoints, ids, secrets)
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -5,7 +5,9 @@ map sends slots to shards. Maps are stored by version; rebalancing edits a versi
 next by moving slots, so a record moves only if its slot does.
 
 Null or empty texts count eight bytes; null ids hash like any value; repeated rows are all
-kept, each with its own place. Other columns are ignored. An empty table gives no rows.
+kept, each with its own place, but stay in one slot (so one row repeated beyond a shard's share
+would upset the balance). Ties in a slot are ordered by id, checksum and size. Very long texts are
+weighed whole. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -106,11 +108,30 @@ class SlotMap:
         return pairs.select(F.lit(self.version).alias("version"), "virtual_slot", "shard")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Store this version; a version that is there already is refused."""
+        self.frame(spark).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version}")
+
+
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions under a map's path, by the file system that Spark uses for it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(x.partition("=")[2]) for x in found if x.startswith("version=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS")))
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("version") == version).select("virtual_slot", "shard")
+    return spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard")
+
+
+def load_newest(spark: SparkSession, path: str, shards: int) -> SlotMap | None:
+    """The newest stored version, for editing; None where nothing is stored."""
+    versions = stored_versions(spark, path)
+    if not versions:
+        return None
+    rows = load_map(spark, path, versions[-1]).orderBy("virtual_slot").collect()  # the fixed number of slots
+    return SlotMap([r.shard for r in rows], shards, versions[-1])
 
 
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -128,16 +149,26 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Rows with shard and place, the shards' bytes near equal; both map versions are stored."""
+    """Rows with shard and place, the shards' bytes near equal.
+
+    The newest map under ``map_path`` is edited into the next version, so that few slots move; where none is
+    stored, slots are dealt out first. A map that needs no edit stays as it is.
+    """
     spark = docs.sparkSession
     rows = slotted(docs, slots)
     weight = {r.virtual_slot: r.bytes for r in slot_bytes(rows).collect()}  # at most `slots` rows
     path = map_path or shared_path(spark, "slot-map")
-    first = SlotMap.dealt(shards, slots)
-    first.save(spark, path)
-    second = first.rebalanced(weight)
-    second.save(spark, path)
-    return place(rows, load_map(spark, path, second.version))
+    current = load_newest(spark, path, shards)
+    if current is None:
+        current = SlotMap.dealt(shards, slots)
+        current.save(spark, path)
+    if len(current.shard_of) != slots:
+        raise ValueError("the stored map has another number of slots")
+    edited = current.rebalanced(weight)
+    if edited.shard_of != current.shard_of:
+        edited.save(spark, path)
+        current = edited
+    return place(rows, load_map(spark, path, current.version))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
