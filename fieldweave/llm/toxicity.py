@@ -50,9 +50,9 @@ DISCOUNTS = (0.9, 1.4, 1.6)
 SHARE = 0.02
 #: Words without evidence that every text counts besides its own.
 PRIOR_WORDS = 30
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Words gathered by a task before they are passed on.
-HELD_WORDS = 400_000
+HELD_WORDS = 300_000
 SALTS = [np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87)]
 #: Documents of each class that show b after a, without and with those of the curve apart.
 EVENT = "level int, a long, b long, t1 int, o1 int, t int, o int"
