@@ -8,20 +8,53 @@ from pyspark.sql.window import Window
 
 # Words read as true, and words read as missing.
 TRUE_WORDS = ("true", "1", "t", "yes", "y")
-MISSING_WORDS = ("", "nan", "none", "na", "n/a", "null", "unknown", "unannotated")
+MISSING_WORDS = ("", "nan", "none", "na", "not provided", "unknown", "null")
 
 
-def as_bool(c: Column) -> Column:
-    """Lenient truth: booleans, numbers other than 0, and the usual words."""
-    word = F.lower(F.trim(c.cast("string")))
-    number = word.try_cast("double")
-    return F.coalesce(word.isin(*TRUE_WORDS) | F.coalesce(number != 0, F.lit(False)), F.lit(False))
+def as_bool(c: Column, kind: str = "string") -> Column:
+    """Lenient truth by the column's type: booleans; numbers whose whole part is not 0; of text, the usual words. Null is false."""
+    if kind == "boolean":
+        told = c
+    elif kind == "string":
+        told = F.lower(F.trim(c)).isin(*TRUE_WORDS)
+    else:
+        number = c.cast("double")
+        told = F.when(~F.isnan(number), F.abs(number) >= 1)
+    return F.coalesce(told, F.lit(False))
 
 
 def is_informative(c: Column) -> Column:
     return ~F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))).isin(*MISSING_WORDS)
 
 
+def threshold_label(value: float) -> str:
+    """A number as part of a column name."""
+    return f"{value:g}".replace("-", "m").replace(".", "p")
+
+
+def norm_statistics(rows: DataFrame, column: str, prefix: str = "norm", thresholds: tuple[float, ...] = ()) -> DataFrame:
+    """Greatest, mean and high percentiles of a column, and how many values lie above each threshold."""
+    q = F.percentile(column, [0.95, 0.99, 0.999])
+    out = rows.agg(F.max(column).alias("a"), F.avg(column).alias("b"), q.alias("q"), F.count(column).alias("n"), *(F.count_if(F.col(column) > t).alias(f"c{i}") for i, t in enumerate(thresholds)))
+    names = [(f"{prefix}_{k}", F.get("q", F.lit(i))) for i, k in enumerate(("p95", "p99", "p999"))]
+    counts = [x for i, t in enumerate(thresholds) for x in ((f"{prefix}_gt_{threshold_label(t)}_count", F.col(f"c{i}")), (f"{prefix}_gt_{threshold_label(t)}_pct", 100.0 * F.col(f"c{i}") / F.greatest("n", F.lit(1))))]
+    return out.select(F.col("a").alias(f"{prefix}_max"), F.col("b").alias(f"{prefix}_mean"), *(c.alias(n) for n, c in names + counts))
+
+
+def permuted_features(rows: DataFrame, seed: int = 1000) -> DataFrame:
+    """points(id, features) with the values of each feature dealt anew over the points.
+
+    Feature by feature, the n-th value by one hash goes to the n-th point by another; marginals stay, joint
+    structure goes, and the outcome is the same on any partitioning. Places are counted per feature.
+    """
+    each = rows.select("id", F.posexplode("features").alias("f", "v"))
+    place = lambda k: F.row_number().over(Window.partitionBy("f").orderBy(F.xxhash64("id", "f", F.lit(seed), F.lit(k)), "id"))
+    given = each.select("f", "v", place(0).alias("n"))
+    taken = each.select("id", "f", place(1).alias("n"))
+    both = taken.join(given, ["f", "n"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("p"))
+    return both.select("id", F.col("p.v").alias("features"))
+
+
 def normalized_token(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.operators.field import cells
-from fieldweave.operators.neighbors import BLOCK, _matrix, blocks
+from fieldweave.operators.neighbors import BLOCK, _matrix, block_pairs, blocks
 
 FORCE = "id long, fx double, fy double"
 
@@ -23,7 +23,7 @@ def pairwise(layout: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], clip
     """Sum over others of kernel(d2) * (own - other); clipped by component and pair, then weighted by the other's column."""
     third = F.col(weight).cast("double") if weight else F.lit(1.0)
     packed = blocks(layout.select("id", F.array(F.col("x"), F.col("y"), third).alias("features")), BLOCK)
-    pairs = packed.toDF("a", "a_ids", "a_vectors").crossJoin(packed.toDF("b", "b_ids", "b_vectors"))
+    pairs = block_pairs(packed.toDF("a", "a_ids", "a_vectors"), packed.toDF("b", "b_ids", "b_vectors"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,7 +36,7 @@ def pairwise(layout: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], clip
                 force = (force * q[None, :, 2:]).sum(1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("a_ids")[i].values)), pa.array(force[:, 0]), pa.array(force[:, 1])], ["id", "fx", "fy"])
 
-    return pairs.repartition("a", "b").mapInArrow(run, FORCE).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    return pairs.mapInArrow(run, FORCE).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
 def exact_repulsion(layout: DataFrame, gamma: float = 1.0, a: float = 1.577, b: float = 0.895, eps: float = 1e-3, clip: float = 4.0, weight: str | None = None) -> DataFrame:

@@ -61,6 +61,15 @@ def clip_norm(forces: DataFrame, most: float) -> DataFrame:
     return forces.select("id", (F.col("fx") * scale).alias("fx"), (F.col("fy") * scale).alias("fy"))
 
 
+def clip_total(pull: DataFrame, push: DataFrame, most: float) -> DataFrame:
+    """(id, ax, ay, rx, ry, norm): both forces scaled by one factor so that their sum has a greatest norm; norm is that before."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    both = pull.toDF("id", "ax", "ay").join(push.toDF("id", "rx", "ry"), "id", "full").select("id", *(zero(c).alias(c) for c in ("ax", "ay", "rx", "ry")))
+    norm = F.sqrt((F.col("ax") + F.col("rx")) ** 2 + (F.col("ay") + F.col("ry")) ** 2)
+    scale = F.least(F.lit(1.0), most / (norm + 1e-12))
+    return both.select("id", *((F.col(c) * scale).alias(c) for c in ("ax", "ay", "rx", "ry")), norm.alias("norm"))
+
+
 def step(layout: DataFrame, edges: DataFrame, boxes: int, alpha: float, clip: float = 4.0) -> DataFrame:
     """One epoch: attraction plus mesh repulsion clipped by vector, times alpha."""
     pull = attraction(edges, layout)
@@ -69,3 +78,25 @@ def step(layout: DataFrame, edges: DataFrame, boxes: int, alpha: float, clip: fl
     p, q = pull.toDF("id", "ax", "ay"), push.toDF("id", "rx", "ry")
     both = layout.join(p, "id", "left").join(q, "id", "left")
     return both.select("id", (F.col("x") + alpha * (zero(F.col("ax")) + zero(F.col("rx")))).alias("x"), (F.col("y") + alpha * (zero(F.col("ay")) + zero(F.col("ry")))).alias("y"))
+
+
+def core_shape(layout: DataFrame, share: float = 0.99, far: float = 2.0) -> DataFrame:
+    """Bounding boxes of all points and of the core, the share nearest the median, and the points far outside it.
+
+    The core radius is the distance of rank ceil(share * n), an exact percentile; of points at that very
+    distance all belong to the core.
+    """
+    middle = layout.agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.count(F.lit(1)).alias("n"))
+    at = layout.crossJoin(F.broadcast(middle)).select("x", "y", "n", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2).alias("r"))
+    # percentile_disc takes the first value whose share of rows reaches the one asked for
+    edge = at.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY r)").alias("core_radius"))
+    both = at.crossJoin(F.broadcast(edge))
+    inside = F.col("r") <= F.col("core_radius")
+    side = lambda c, pick: F.max(pick(c)) - F.min(pick(c))
+    every, core = (lambda c: F.col(c)), (lambda c: F.when(inside, F.col(c)))
+    found = both.agg(
+        side("x", every).alias("width"), side("y", every).alias("height"), side("x", core).alias("core_width"), side("y", core).alias("core_height"),
+        F.first("core_radius").alias("core_radius"), F.max("r").alias("radius_max"), F.count_if(F.col("r") > far * F.col("core_radius")).alias("far_count"), F.count(F.lit(1)).alias("n"),
+    )
+    area, core_area = F.col("width") * F.col("height"), F.col("core_width") * F.col("core_height")
+    return found.select("*", F.try_divide(area, core_area).alias("area_ratio"), F.greatest(F.try_divide("width", "core_width"), F.try_divide("height", "core_height")).alias("extent_ratio"), (100.0 * F.col("far_count") / F.col("n")).alias("far_pct"))

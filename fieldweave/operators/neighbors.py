@@ -68,11 +68,17 @@ def _knn_kernel(k: int, metric: str, keep_self: bool):
     return kernel
 
 
+def block_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of blocks. Each side is dealt out once, block by block; the product itself is never shuffled."""
+    n = a.sparkSession.sparkContext.defaultParallelism
+    return a.repartition(n, a.columns[0]).crossJoin(b.repartition(n, b.columns[0]))
+
+
 def knn(points: DataFrame, k: int = 15, metric: str = "euclidean") -> DataFrame:
     """(src, dst, rank, dist): the k nearest others of every point, rank from 1."""
     packed = blocks(points)
-    pairs = packed.toDF("a", "a_ids", "a_vectors").crossJoin(packed.toDF("b", "b_ids", "b_vectors"))
-    some = pairs.repartition("a", "b").mapInArrow(_knn_kernel(k, metric, False), "src long, dst long, dist double")
+    pairs = block_pairs(packed.toDF("a", "a_ids", "a_vectors"), packed.toDF("b", "b_ids", "b_vectors"))
+    some = pairs.mapInArrow(_knn_kernel(k, metric, False), "src long, dst long, dist double")
     order = Window.partitionBy("src").orderBy("dist", "dst")
     return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("src", "dst", "rank", "dist")
 
@@ -84,22 +90,68 @@ def with_self(neighbours: DataFrame) -> DataFrame:
 
 
 def nearer_counts(points: DataFrame, candidates: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """candidates(src, dst) with rank = 1 + how many points are strictly nearer to src than dst is."""
-    packed = blocks(points)
+    """candidates(src, dst) with rank = 1 + how many points are strictly nearer to src than dst is.
 
-    wanted = candidates.join(points.select(F.col("id").alias("dst"), F.col("features").cast("array<double>").alias("df")), "dst").join(points.select(F.col("id").alias("src"), F.col("features").cast("array<double>").alias("sf")), "src")
-    each = wanted.groupBy("src", "sf").agg(F.collect_list("dst").alias("dsts"), F.collect_list("df").alias("dfs"))
+    Block by block: first the candidates' distances, from the pairs of blocks that hold both, then the points
+    nearer than those, by one sort of each row of a pair of blocks.
+    """
+    packed = blocks(points)
+    wanted = candidates.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
+    owners = packed.select("block", F.explode("ids").alias("src"))
+    by_block = owners.join(wanted, "src").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("src", "dsts"))).alias("w"))
+    sources = packed.join(by_block, "block").select("block", "ids", "vectors", F.col("w.src").alias("srcs"), F.col("w.dsts").alias("dsts"))
+
+    def places(batch: pa.RecordBatch, i: int):
+        ids = np.asarray(batch.column("ids")[i].values)
+        srcs = np.asarray(batch.column("srcs")[i].values)
+        lists = batch.column("dsts")[i].values
+        return ids, np.searchsorted(ids, srcs), np.repeat(np.arange(len(srcs)), np.diff(lists.offsets.to_numpy())), np.asarray(lists.flatten())
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, rows, owner, dst = places(batch, i)
+                others = np.asarray(batch.column("b_ids")[i].values)
+                at = np.minimum(np.searchsorted(others, dst), len(others) - 1)
+                here = others[at] == dst
+                if here.any():
+                    d = distances(_matrix(batch.column("vectors"), i)[rows], _matrix(batch.column("b_vectors"), i), metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows][owner[here]]), pa.array(dst[here]), pa.array(d[owner[here], at[here]])], ["src", "dst", "d"])
+
+    def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, rows, owner, dst = places(batch, i)
+                bound = np.asarray(batch.column("ds")[i].values.flatten())
+                others = np.asarray(batch.column("b_ids")[i].values)
+                d = distances(_matrix(batch.column("vectors"), i)[rows], _matrix(batch.column("b_vectors"), i), metric)
+                d[ids[rows][:, None] == others[None, :]] = np.inf
+                d.sort(axis=1)
+                counts = np.concatenate([np.searchsorted(d[r], bound[owner == r], side="left") for r in range(len(rows))])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][owner]), pa.array(dst), pa.array(counts)], ["src", "dst", "nearer"])
+
+    other = packed.toDF("b", "b_ids", "b_vectors")
+    known = block_pairs(sources, other).mapInArrow(between, "src long, dst long, d double")
+    held = owners.join(known.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "d"))).alias("c")), "src")
+    with_bounds = held.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("src", "c"))).alias("w"))
+    ready = packed.join(with_bounds, "block").select("block", "ids", "vectors", F.col("w.src").alias("srcs"), F.transform("w.c", lambda c: c["dst"]).alias("dsts"), F.transform("w.c", lambda c: c["d"]).alias("ds"))
+    return block_pairs(ready, other).mapInArrow(nearer, "src long, dst long, nearer long").groupBy("src", "dst").agg((F.sum("nearer") + 1).alias("rank"))
+
+
+def pair_distances_by_block(first: DataFrame, second: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(i, j, x, y) of all pairs i < j: their distances in both sets of vectors, block by block."""
+    both = first.select("id", F.col("features").alias("f1")).join(second.select("id", F.col("features").alias("f2")), "id")
+    n1 = F.size("f1")
+    packed = blocks(both.select("id", F.concat(F.array(n1.cast("double")), F.col("f1").cast("array<double>"), F.col("f2").cast("array<double>")).alias("features")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                src = batch.column("src")[i].as_py()
-                x = np.array([batch.column("sf")[i].as_py()])
-                d = distances(x, _matrix(batch.column("dfs"), i), metric)[0]
-                ids = np.asarray(batch.column("ids")[i].values)
-                others = np.sort(distances(x, _matrix(batch.column("vectors"), i), metric)[0][ids != src])
-                dst = np.asarray(batch.column("dsts")[i].values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dst), src)), pa.array(dst), pa.array(np.searchsorted(others, d, side="left"))], ["src", "dst", "nearer"])
-
-    pairs = each.crossJoin(packed).mapInArrow(kernel, "src long, dst long, nearer long")
-    return pairs.groupBy("src", "dst").agg((F.sum("nearer") + 1).alias("rank"))
+                a, b = (np.asarray(batch.column(c)[i].values) for c in ("a_ids", "b_ids"))
+                p, q = _matrix(batch.column("a_vectors"), i), _matrix(batch.column("b_vectors"), i)
+                cut = 1 + int(p[0, 0])
+                rows, cols = np.nonzero(a[:, None] < b[None, :])
+                x, y = (distances(p[:, s], q[:, s], metric)[rows, cols] for s in (slice(1, cut), slice(cut, None)))
+                yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(b[cols]), pa.array(x), pa.array(y)], ["i", "j", "x", "y"])
+
+    return block_pairs(packed.toDF("a", "a_ids", "a_vectors"), packed.toDF("b", "b_ids", "b_vectors")).mapInArrow(kernel, "i long, j long, x double, y double")

@@ -83,8 +83,8 @@ def t_layout(edges: DataFrame, init: DataFrame, n_epochs: int = 50, strength: fl
     return at.select("id", "x", "y")
 
 
-def two_phase_layout(points: DataFrame, n_epochs: int = 50, share: float = 0.7, **settings) -> DataFrame:
-    """Field epochs first, then sampled descent on the same graph."""
+def two_phase_layout(points: DataFrame, n_epochs: int = 50, share: float = 0.3, **settings) -> DataFrame:
+    """Field epochs first, then sampled descent on the same graph for the given share of epochs."""
     first, second = split_epochs(n_epochs, share)
     model = FieldLayout(n_epochs=first, **settings)
     ready = model.prepare(points)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldweave.operators.neighbors import knn, nearer_counts
+from fieldweave.operators.neighbors import knn, nearer_counts, pair_distances_by_block
+from fieldweave.operators.saving import saved
 
 
 def neighborhood_preservation(source: DataFrame, embedding: DataFrame, k: int = 15) -> DataFrame:
@@ -45,18 +48,63 @@ def pair_distances(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(left, "i").join(right, "j").withColumn("d", F.sqrt(sq_dist(F.col("fi"), F.col("fj")))).drop("fi", "fj")
 
 
-def average_rank(column: str, *partition: str):
-    """Rank by value where ties share their mean rank."""
-    order = Window.partitionBy(*partition).orderBy(column)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, column)) - 1) / 2
+def average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows with the rank of a column, ties sharing their mean rank.
+
+    Distinct values are sorted in ranges and counted, ranges are offset by the rows before them (one number a
+    range reaches the driver), and ranks are joined back; no task holds all rows.
+    """
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = saved(counts.repartitionByRange(column).withColumn("__p", F.spark_partition_id()))
+    sizes = {r["__p"]: r.s for r in dealt.groupBy("__p").agg(F.sum("__n").alias("s")).collect()}  # one row a range
+    starts, total = [], 0
+    for p in sorted(sizes):
+        starts.append((p, total))
+        total += sizes[p]
+    before = rows.sparkSession.createDataFrame(starts, "__p int, __start long")
+    upto = F.sum("__n").over(Window.partitionBy("__p").orderBy(column))
+    ranks = dealt.withColumn("__upto", upto).join(F.broadcast(before), "__p").select(column, (F.col("__start") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
+    return rows.join(ranks, column)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    ranked = rows.withColumns({"rx": average_rank(x), "ry": average_rank(y)})
+    """Rank correlation of two columns without nulls."""
+    rows = saved(rows.select(F.col(x).alias("x"), F.col(y).alias("y")))
+    ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
     return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
 
 
-def distance_spearman(pairs: DataFrame, source: DataFrame, embedding: DataFrame) -> DataFrame:
+def p_value(rho: float, n: int) -> float:
+    """Two-sided chance of a correlation at least as strong, from Student's t with n - 2 degrees of freedom."""
+    if n < 3 or math.isnan(rho):
+        return math.nan
+    if rho == 0 or abs(rho) >= 1:
+        return float(rho == 0)
+    # the incomplete beta function at 1 - rho**2, with a = (n - 2) / 2 and b = 1 / 2, by Lentz's continued fraction
+    a, b, x = (n - 2) / 2, 0.5, 1 - rho * rho
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+
+    def fraction(a: float, b: float, x: float) -> float:
+        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+        out = d
+        for m in range(1, 500):
+            for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 + k * d
+                c = 1 + k / c
+                d = 1 / (d if abs(d) > 1e-300 else 1e-300)
+                c = c if abs(c) > 1e-300 else 1e-300
+                out *= c * d
+            if abs(c * d - 1) < 1e-14:
+                break
+        return out
+
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
+def distance_spearman(source: DataFrame, embedding: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Rank correlation of distances in both sets of vectors: over the given pairs(i, j), or over all pairs in blocks."""
+    if pairs is None:
+        return spearman(pair_distances_by_block(source, embedding), "x", "y")
     both = pair_distances(pairs, source).withColumnRenamed("d", "x").join(pair_distances(pairs, embedding).withColumnRenamed("d", "y"), ["i", "j"])
     return spearman(both, "x", "y")
 

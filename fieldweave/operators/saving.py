@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """A checkpoint in spark.checkpoint.dir; a temporary folder only in local mode, where driver and executors are one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldweave-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="fieldweave-"))
     return df.checkpoint(eager=True)

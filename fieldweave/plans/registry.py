@@ -61,12 +61,6 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _pairs(spark, sf_dir):
-    ids = points(spark, sf_dir).select("id")
-    i, j = ids.select(F.col("id").alias("i")), ids.select(F.col("id").alias("j"))
-    return i.join(j, (F.col("i") < F.col("j")) & ((F.col("i") * 31 + F.col("j") * 17) % 13 == 0))
-
-
 def _triplets(spark, sf_dir):
     n = points(spark, sf_dir).count()
     a = F.col("id")
@@ -80,7 +74,7 @@ QUERIES = {
     "neighborhood_preservation": lambda s, d: _rounded(quality.neighborhood_preservation(points(s, d), projected(s, d), K), "score", "low", "high"),
     "trustworthiness": lambda s, d: _rounded(quality.trustworthiness(points(s, d), projected(s, d)), "score"),
     "continuity": lambda s, d: _rounded(quality.continuity(points(s, d), projected(s, d)), "score"),
-    "distance_spearman": lambda s, d: _rounded(quality.distance_spearman(_pairs(s, d), points(s, d), projected(s, d)), "rho"),
+    "distance_spearman": lambda s, d: _rounded(quality.distance_spearman(points(s, d), projected(s, d)), "rho"),
     "triplet_accuracy": lambda s, d: _rounded(quality.triplet_accuracy(_triplets(s, d), points(s, d), projected(s, d)), "accuracy"),
     "adjusted_rand": lambda s, d: _rounded(quality.adjusted_rand(_table(s, d, "labels").select(F.col("quality").alias("a"), F.col("toxic").alias("b"))), "ari"),
     "symmetric_min": lambda s, d: _rounded(graph.symmetric_min(edges(s, d)), "w"),
@@ -113,6 +107,13 @@ QUERIES = {
     "arc_positions": lambda s, d: _rounded(stability.arc_positions(layout(s, d)), "arc", digits=4),
     "pseudotime_correlation": lambda s, d: _rounded(stability.pseudotime_correlation(layout(s, d), points(s, d).select("id", F.col("id").cast("double").alias("t"))), "rho"),
     "cell_similarity": lambda s, d: _rounded(stability.cell_similarity(points(s, d), projected(s, d)), "rho", digits=4),
+    "pseudotime_pearson": lambda s, d: _rounded(stability.pseudotime_correlation(layout(s, d), points(s, d).select("id", F.col("id").cast("double").alias("t")), "pearson"), "rho"),
+    "norm_statistics": lambda s, d: _rounded(columns.norm_statistics(layout(s, d).select(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2).alias("r")), "r", "r", (2.0, 4.5)), "r_max", "r_mean", "r_p95", "r_p99", "r_p999", "r_gt_2_pct", "r_gt_4p5_pct"),
+    "core_shape": lambda s, d: _rounded(field.core_shape(layout(s, d), 0.9), "width", "height", "core_width", "core_height", "core_radius", "radius_max", "area_ratio", "extent_ratio", "far_pct"),
+    "total_clip": lambda s, d: _rounded(field.clip_total(field.attraction(edges(s, d), layout(s, d)), field.mesh_repulsion(layout(s, d), 16), 4.0), "ax", "ay", "rx", "ry", "norm", digits=3),
+    "name_tokens": lambda s, d: _table(s, d, "part").select("p_partkey", columns.normalized_token(F.col("p_name")).alias("token")),
+    "lenient_truth": lambda s, d: _table(s, d, "part").select("p_partkey", columns.as_bool(F.col("p_retailprice") / 1000, "double").alias("dear"), columns.as_bool(F.col("p_size") % 2, "int").alias("odd"), columns.as_bool(F.concat(F.lit(" "), (F.col("p_size") % 3).cast("string")), "string").alias("one"), columns.is_informative(F.when(F.col("p_size") % 5 == 0, F.lit(" Not Provided")).otherwise(F.col("p_brand"))).alias("told")),
+    "label_codes": lambda s, d: columns.encoded(_table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment"),
     "quantized_layout": lambda s, d: columns.quantized(layout(s, d), 1023),
     "normalize_log1p": lambda s, d: _rounded(columns.normalize_log1p(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("feature"), F.col("l_quantity").alias("value"))).groupBy("row").agg(F.sum("value").alias("value")), "value"),
     "persistent_homology": lambda s, d: s.createDataFrame([topology.persistent_homology_distance(points(s, d), projected(s, d), 24)], "h0 double, h1 double, total double"),
@@ -154,7 +155,7 @@ ORACLE = {
     "neighborhood_preservation": f"WITH {_P}, {_E}, {_knn_sql('k', 'p', K)}, {_knn_sql('q', 'e', K)}, s AS (SELECT src, count(*) / {K} AS s FROM k JOIN q USING (src, dst) GROUP BY src), x AS (SELECT coalesce(s, 0.0) AS s FROM p LEFT JOIN s ON src = id) SELECT round(avg(s), 6) AS score, round(min(s), 6) AS low, round(max(s), 6) AS high, count(*) AS n FROM x",
     "trustworthiness": _rank_sql("e", "p"),
     "continuity": _rank_sql("p", "e"),
-    "distance_spearman": f"WITH {_P}, {_E}, x AS (SELECT a.id AS i, b.id AS j, {_D} AS x FROM p a JOIN p b ON a.id < b.id AND (a.id * 31 + b.id * 17) % 13 = 0), y AS (SELECT a.id AS i, b.id AS j, {_D} AS y FROM e a JOIN e b ON a.id < b.id), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM x JOIN y USING (i, j)) SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n_pairs FROM r",
+    "distance_spearman": f"WITH {_P}, {_E}, x AS (SELECT a.id AS i, b.id AS j, {_D} AS x FROM p a JOIN p b ON a.id < b.id), y AS (SELECT a.id AS i, b.id AS j, {_D} AS y FROM e a JOIN e b ON a.id < b.id), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM x JOIN y USING (i, j)) SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n_pairs FROM r",
     "triplet_accuracy": f"WITH {_P}, {_E}, n AS (SELECT count(*) AS n FROM p), t AS (SELECT id AS a, (id + s) % n AS i, (id + 3 * s + 50) % n AS j FROM p, n, range(1, 21) AS r(s)), u AS (SELECT sign(list_distance(pa.f, pi.f) - list_distance(pa.f, pj.f)) AS s, sign(list_distance(ea.f, ei.f) - list_distance(ea.f, ej.f)) AS e FROM t JOIN p pa ON pa.id = a JOIN p pi ON pi.id = i JOIN p pj ON pj.id = j JOIN e ea ON ea.id = a JOIN e ei ON ei.id = i JOIN e ej ON ej.id = j WHERE i <> j AND a <> i AND a <> j) SELECT round(avg((s = e)::INT), 6) AS accuracy, count(*) AS n_used, count(*) FILTER (e = 0) AS n_embedded_ties FROM u WHERE s <> 0",
     "adjusted_rand": "WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2), t AS (SELECT sum(n * (n - 1) / 2) AS c, sum(n) * (sum(n) - 1) / 2 AS m FROM c), r AS (SELECT sum(n * (n - 1) / 2) AS ra FROM (SELECT sum(n) AS n FROM c GROUP BY a)), s AS (SELECT sum(n * (n - 1) / 2) AS rb FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT round((c - ra * rb / m) / ((ra + rb) / 2 - ra * rb / m), 6) AS ari FROM t, r, s",
     "symmetric_min": f"WITH {_EDGES} SELECT src, dst, round(min(w), 6) AS w FROM (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g) GROUP BY src, dst",
@@ -187,6 +188,13 @@ ORACLE = {
     "arc_positions": f"WITH {_L}, {_ARC} SELECT id, round(arc, 4) AS arc FROM arc",
     "pseudotime_correlation": f"WITH {_L}, {_ARC}, r AS (SELECT rank() OVER (ORDER BY arc) + (count(*) OVER (PARTITION BY arc) - 1) / 2 AS a, rank() OVER (ORDER BY id) AS b FROM arc) SELECT round(abs(corr(a, b)), 6) AS rho, count(*) AS n FROM r",
     "cell_similarity": f"WITH {_P}, {_E}, {_knn_sql('k', 'p', 1000000)}, {_knn_sql('q', 'e', 1000000)}, h AS (SELECT count(*) // 2 AS h FROM p) SELECT k.src, round(corr(a.dist, b.dist), 4) AS rho FROM k JOIN h ON k.rank <= h JOIN q a ON a.src = k.src AND a.dst = k.dst JOIN q b ON b.src = k.src AND b.rank = k.rank GROUP BY k.src",
+    "pseudotime_pearson": f"WITH {_L}, {_ARC} SELECT round(abs(corr(arc, id)), 6) AS rho, count(*) AS n FROM arc",
+    "norm_statistics": f"WITH {_L}, r AS (SELECT sqrt(x * x + y * y) AS r FROM l) SELECT round(max(r), 6) AS r_max, round(avg(r), 6) AS r_mean, round(quantile_cont(r, 0.95), 6) AS r_p95, round(quantile_cont(r, 0.99), 6) AS r_p99, round(quantile_cont(r, 0.999), 6) AS r_p999, count(*) FILTER (r > 2) AS r_gt_2_count, round(100.0 * avg((r > 2)::INT), 6) AS r_gt_2_pct, count(*) FILTER (r > 4.5) AS r_gt_4p5_count, round(100.0 * avg((r > 4.5)::INT), 6) AS r_gt_4p5_pct FROM r",
+    "core_shape": f"WITH {_L}, m AS (SELECT median(x) AS mx, median(y) AS my FROM l), r AS (SELECT x, y, sqrt(pow(x - mx, 2) + pow(y - my, 2)) AS r FROM l, m), k AS (SELECT r.*, row_number() OVER (ORDER BY r) AS place, count(*) OVER () AS n FROM r), c AS (SELECT min(r) AS core_radius FROM k WHERE place = ceil(0.9 * n)), b AS (SELECT max(x) - min(x) AS width, max(y) - min(y) AS height, max(x) FILTER (r <= core_radius) - min(x) FILTER (r <= core_radius) AS core_width, max(y) FILTER (r <= core_radius) - min(y) FILTER (r <= core_radius) AS core_height, any_value(core_radius) AS core_radius, max(r) AS radius_max, count(*) FILTER (r > 2 * core_radius) AS far_count, count(*) AS n FROM k, c) SELECT round(width, 6) AS width, round(height, 6) AS height, round(core_width, 6) AS core_width, round(core_height, 6) AS core_height, round(core_radius, 6) AS core_radius, round(radius_max, 6) AS radius_max, far_count, n, round(width * height / (core_width * core_height), 6) AS area_ratio, round(greatest(width / core_width, height / core_height), 6) AS extent_ratio, round(100.0 * far_count / n, 6) AS far_pct FROM b",
+    "total_clip": f"WITH {_EDGES}, {_CELL}, {_PULL}, {_FIELD}, t AS (SELECT id, coalesce(pull.fx, 0) AS ax, coalesce(pull.fy, 0) AS ay, coalesce(push.fx, 0) AS rx, coalesce(push.fy, 0) AS ry FROM pull FULL JOIN push USING (id)), u AS (SELECT *, sqrt(pow(ax + rx, 2) + pow(ay + ry, 2)) AS norm FROM t), v AS (SELECT *, least(1.0, 4 / (norm + 1e-12)) AS f FROM u) SELECT id, round(ax * f, 3) AS ax, round(ay * f, 3) AS ay, round(rx * f, 3) AS rx, round(ry * f, 3) AS ry, round(norm, 3) AS norm FROM v",
+    "name_tokens": "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS token FROM part",
+    "lenient_truth": "SELECT p_partkey, trunc(p_retailprice / 1000) <> 0 AS dear, p_size % 2 <> 0 AS odd, p_size % 3 = 1 AS one, p_size % 5 <> 0 AS told FROM part",
+    "label_codes": "SELECT c_custkey, c_mktsegment, (SELECT count(DISTINCT o.c_mktsegment) FROM customer o WHERE o.c_mktsegment < c.c_mktsegment)::INT AS code FROM customer c",
     "quantized_layout": f"WITH {_L}, b AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) AS span FROM l) SELECT id, round_even((x - x0) * (1023 / span), 0)::INT AS qx, round_even((y - y0) * (1023 / span), 0)::INT AS qy FROM l, b",
     "normalize_log1p": "WITH s AS (SELECT l_orderkey AS row, sum(l_quantity) AS total FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0), t AS (SELECT median(total) AS target FROM s) SELECT row, round(sum(ln(1 + l_quantity * target / total)), 6) AS value FROM lineitem JOIN s ON row = l_orderkey, t GROUP BY row",
 }

@@ -89,7 +89,9 @@ def test_schedules():
     assert schedules.stages(200, [(0, 1), (0.9, 2), (0.95, 3)]) == [(0, 180, 1), (180, 190, 2), (190, 200, 3)]
     assert schedules.stage_at([(0, 180, 1), (180, 200, 2)], 180) == 2
     assert [schedules.alpha(t, 10) for t in (0, 1, 2)] == [1.0, 1.0, 0.9]
-    assert schedules.split_epochs(10, 0.01) == (1, 9) and schedules.split_epochs(10, 0.99) == (9, 1)
+    assert schedules.split_epochs(10, 0.01) == (9, 1) and schedules.split_epochs(10, 0.99) == (1, 9) and schedules.split_epochs(11, 0.3) == (7, 4)
+    with pytest.raises(ValueError):
+        schedules.stages(3, [(0, 1), (0.1, 2), (0.2, 3)])
     assert all(w <= schedules.rounded_width(w) < w * 2 ** (1.001 / 64) for w in (0.3, 1.0, 1.7))
     assert schedules.noise_scale(5, 10, 2.0, "linear") == 1.0 and schedules.noise_scale(9, 10, 2.0, stop=0.5) == 0
     assert schedules.mesh_cells(10) == 32 and schedules.mesh_cells(100) == 105
