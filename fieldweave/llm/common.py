@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import string
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,8 +59,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that are finished and out of reach."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works beside us; what it frees first may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
