@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -252,6 +253,37 @@ def test_rows_without_ids_have_near_passages(spark):
     assert got == [(0, 0, 3), (0, 1, 1), (160, 1, 1), (160, 1, 1)]
 
 
+def test_a_common_line_hides_no_passage(spark):
+    """All least hashes lie in a line that every document holds; pairs share the words beside it as well."""
+    words = long_text(70, 40_000).split()
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    tokens = compact_windows.shingles(data, np.array([0, len(data)]))[0]
+    least = [int(np.argmin(compact_windows.bw.mixed(tokens + np.uint64((f + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))) for f in range(compact_windows.FUNCTIONS)]
+    line = " ".join(w for i in least for w in words[i : i + compact_windows.WORDS])
+    rows = [(1000 + k, f"{long_text(10000 + k, 60)} {line} {long_text(11000 + k, 60)}") for k in range(150)]
+    for k in range(24):
+        before, after = ((24, 24), (0, 48), (48, 0))[k % 3]
+        passage = f"{long_text(7000 + k, before)} {line} {long_text(7500 + k, after)}"
+        rows += [(k + 100 * h, f"{long_text(8000 + k + 100 * h, 40)} {passage} {long_text(9000 + k + 100 * h, 40)}") for h in (0, 1)]
+    got = {r.doc_id: r for r in compact_windows.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[k].class_id == got[100 + k].class_id == k and got[k].n_near_words >= 60 for k in range(24))
+    assert all(got[1000 + k].n_links == 0 for k in range(150))
+
+
+def test_links_do_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    n = 400
+    cols = [np.sort(rng.integers(0, 4, n)), rng.integers(0, 40, n), np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, 50, np.int32), np.full(n, 100, np.int32), rng.integers(0, 3, n).astype(np.int32)]
+    order = np.lexsort((cols[1], cols[6], cols[0]))
+    whole = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in cols], compact_windows.WINDOW)
+
+    def links(size):
+        parts = [whole.slice(i, size) for i in range(0, n, size)]
+        return sorted(tuple(r.values()) for out in compact_windows._link_batches(iter(parts)) for r in out.to_pylist())
+
+    assert links(n) == links(7) == links(1)
+
+
 def test_near_copies_of_passages_are_found(spark):
     """Recall over passages of 100 words with edits, each between words of their own."""
     rng, rows = np.random.default_rng(8), []
@@ -331,8 +363,6 @@ def test_fingerprint_links_over_parts_of_a_bucket(monkeypatch):
     monkeypatch.setattr(edit_fingerprint, "LARGE", 4)
     rows = np.zeros((11, 8), np.uint64)
     rows[:, 0] = np.arange(11)
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array([0] * 11), pa.array(["k"] * 11), pa.array([x.tobytes() for x in rows], pa.binary())], ["band", "key", "fp"])
     links = [(a, b) for out in edit_fingerprint._near_batches(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
     assert len({x for pair in links for x in pair}) == 11 and len(links) == 10
