@@ -210,6 +210,37 @@ def test_compact_windows_hold_every_passage():
         assert [w for w in windows if w[0] <= s <= w[1] <= e <= w[2]] == [w for w in windows if w[1] == c]
 
 
+def _windows_by_sets(x, y):
+    """Similar windows by building every set: {(diagonal, place): similarity}."""
+    n, out = compact_windows.TOKENS, {}
+    for i in range(len(x) - n + 1):
+        for k in range(len(y) - n + 1):
+            u, v = x[i : i + n], y[k : k + n]
+            j = len(set(u) & set(v)) / len(set(u) | set(v))
+            if j >= compact_windows.SIMILAR and (u == v).sum() >= n // 2 - 3:
+                out[i - k, i] = j
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_similar_windows_against_sets(seed, monkeypatch):
+    monkeypatch.setattr(compact_windows, "AT_ONCE", 7)
+    monkeypatch.setattr(compact_windows, "PAIRS", 500)
+    rng = np.random.default_rng(seed)
+    line = rng.permutation(400)[: (12, 30, 46, 50, 60, 80)[seed]]
+    x = np.concatenate([rng.integers(400, 500, 20), np.tile(line, 130 // len(line) + 1), rng.integers(0, 9, 30)])
+    y = np.delete(x, rng.integers(len(x), size=3))[8:]
+    y[rng.integers(len(y), size=5)] = rng.integers(500, 600, 5)
+    want = _windows_by_sets(x, y)
+    found = compact_windows._alike_windows(x, y, [])
+    n = compact_windows.TOKENS
+    assert want and {(s - bs, s) for s, _, bs, _, _ in found} <= set(want)
+    for s, e, bs, be, j in found:
+        inside = [v for (d, i), v in want.items() if d == s - bs and s <= i <= e - n + 1]
+        assert e - s == be - bs and j == min(inside)
+    assert all(any(f[0] <= i <= f[1] - n + 1 and f[0] - f[2] == d for f in found) for d, i in want)
+
+
 def test_a_shared_passage_counts_however_often_it_stands():
     rng = np.random.default_rng(11)
     p, *fill = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (compact_windows.TOKENS, 30, 30, 30, 10, 10))
