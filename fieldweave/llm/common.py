@@ -51,6 +51,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_shared_dir(spark).rstrip('/')}/fieldweave/{name}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that no later step reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through files that every executor can read."""
     ensure_shared_dir(df.sparkSession)
