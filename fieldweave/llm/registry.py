@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import centroids, compact_windows, decontamination, edit_fingerprint, license_scan, pieces, prefix_trie, secret_scan, sharding, simhash, suffix_dedup, toxicity
+from fieldweave.llm import centroids, compact_windows, decontamination, edit_fingerprint, license_scan, personal_data, pieces, prefix_trie, secret_scan, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_edit_fingerprint": edit_fingerprint.op8_edit_fingerprint,
         "op9_compact_windows": compact_windows.op9_compact_windows,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op11_personal_data": personal_data.op11_personal_data,
         "op12_centroid_clustering": centroids.op12_centroid_clustering,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
