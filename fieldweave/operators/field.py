@@ -16,8 +16,9 @@ def bounds(layout: DataFrame) -> DataFrame:
 
 
 def cells(layout: DataFrame, boxes: int) -> DataFrame:
-    """Each point's cell; both axes share the least coordinate and the width."""
-    b = layout.agg(F.least(F.min("x"), F.min("y")).alias("low"), ((F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))) / boxes).alias("width"))
+    """Each point's cell; both axes share the least coordinate and the width, which is 1 where there is no extent."""
+    span = F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))
+    b = layout.agg(F.least(F.min("x"), F.min("y")).alias("low"), F.when(span > 0, span / boxes).otherwise(1.0).alias("width"))
     cell = lambda c: F.least(F.floor((F.col(c) - F.col("low")) / F.col("width")), F.lit(boxes - 1)).cast("int")
     return layout.crossJoin(F.broadcast(b)).select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"), "low", "width")
 

@@ -4,6 +4,9 @@ Vectors are packed into blocks of rows; each pair of blocks is one Arrow row who
 computed by NumPy, so memory is bounded by the block and the work spreads over all pairs of
 blocks. Only the k best of each block pair leave the kernel; a window keeps the k best overall.
 Ties go to the smaller id. Metrics: euclidean, sqeuclidean, manhattan, chebyshev, cosine.
+
+Points without a vector, or with a null, NaN or infinite component, have no row and are no one's neighbour.
+Of rows with the same id one counts, that of the smallest vector.
 """
 
 from __future__ import annotations
@@ -37,13 +40,22 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
     return np.sqrt(out) if metric == "euclidean" else out
 
 
+def usable(points: DataFrame) -> DataFrame:
+    """points(id, features) as (long, array<double>), without those that have no distance to others."""
+    finite = F.forall("features", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return points.select(F.col("id").cast("long"), F.col("features").cast("array<double>")).filter(F.col("id").isNotNull() & F.col("features").isNotNull() & finite)
+
+
 def blocks(points: DataFrame, size: int = BLOCK) -> DataFrame:
     """points(id, features) to (block, ids, vectors): consecutive ids by hash, one row a block."""
+    points = usable(points)
     n = points.count()
     count = max(1, -(-n // size))
-    dealt = points.select(F.col("id").cast("long"), F.col("features").cast("array<double>"), F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"))
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
     packed = F.sort_array(F.collect_list(F.struct("id", "features")))
-    return dealt.groupBy("block").agg(packed.alias("p")).select("block", F.col("p.id").alias("ids"), F.col("p.features").alias("vectors"))
+    first = F.filter("p", lambda x, i: (i == 0) | (x.id != F.get("p", i - 1).id))  # rows of one id lie in one block
+    one_each = dealt.groupBy("block").agg(packed.alias("p")).select("block", first.alias("p"))
+    return one_each.select("block", F.col("p.id").alias("ids"), F.col("p.features").alias("vectors"))
 
 
 def _matrix(column: pa.Array, i: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import exact, field, geodesic, graph, matching, optimisers, quality, spectral, stability, topology
+from fieldweave.operators import approximate, exact, field, geodesic, graph, matching, mesh, optimisers, quality, spectral, stability, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.plans.reports import PLANS, spark_text
@@ -88,6 +88,9 @@ QUERIES = {
     "layout_bounds": lambda s, d: _rounded(field.bounds(layout(s, d)), "min_x", "min_y", "max_x", "max_y", "span"),
     "mesh_moments": lambda s, d: _rounded(field.moments(layout(s, d), 16), "sx", "sy"),
     "mesh_repulsion": lambda s, d: _rounded(field.mesh_repulsion(layout(s, d), 16), "fx", "fy", digits=4),
+    "mesh_fft": lambda s, d: _rounded(mesh.mesh_force(layout(s, d), 16), "fx", "fy", digits=4),
+    "mesh_fft_order_3": lambda s, d: mesh.mesh_force(layout(s, d), 32, 3),
+    "approximate_knn": lambda s, d: approximate.approximate_knn(points(s, d), K),
     "attraction": lambda s, d: _rounded(field.attraction(edges(s, d), layout(s, d)), "fx", "fy", digits=4),
     "layout_step": lambda s, d: _rounded(field.step(layout(s, d), edges(s, d), 16, 0.5), "x", "y", digits=3),
     "exact_repulsion": lambda s, d: _rounded(exact.exact_repulsion(layout(s, d)), "fx", "fy", digits=4),
@@ -168,6 +171,7 @@ ORACLE = {
     "layout_bounds": f"WITH {_L} SELECT round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(greatest(max(x), max(y)) - least(min(x), min(y)), 6) AS span, count(*) FILTER (NOT isfinite(x) OR NOT isfinite(y)) AS n_bad FROM l",
     "mesh_moments": f"WITH {_CELL} SELECT cx, cy, round(sum(x), 6) AS sx, round(sum(y), 6) AS sy, count(*) AS cnt FROM c GROUP BY cx, cy",
     "mesh_repulsion": f"WITH {_CELL}, {_FIELD} SELECT id, round(fx, 4) AS fx, round(fy, 4) AS fy FROM push",
+    "mesh_fft": f"WITH {_CELL}, {_FIELD} SELECT id, round(fx, 4) AS fx, round(fy, 4) AS fy FROM push",
     "attraction": f"WITH {_EDGES}, {_L}, {_PULL} SELECT id, round(fx, 4) AS fx, round(fy, 4) AS fy FROM pull",
     "layout_step": f"WITH {_EDGES}, {_CELL}, {_PULL}, {_FIELD}, cl AS (SELECT id, CASE WHEN sqrt(fx * fx + fy * fy) > 4 THEN 4 / sqrt(fx * fx + fy * fy) ELSE 1 END AS f, fx, fy FROM push) SELECT l.id, round(l.x + 0.5 * (coalesce(pull.fx, 0) + coalesce(cl.fx * f, 0)), 3) AS x, round(l.y + 0.5 * (coalesce(pull.fy, 0) + coalesce(cl.fy * f, 0)), 3) AS y FROM l LEFT JOIN pull USING (id) LEFT JOIN cl USING (id)",
     "exact_repulsion": f"WITH {_L}, {_ALL}, x AS (SELECT *, 2 * 0.895 / ((0.001 + r2) * (1 + 1.577 * pow(r2, 0.895))) AS k FROM z) SELECT id, round(sum(greatest(-4.0, least(4.0, k * dx))), 4) AS fx, round(sum(greatest(-4.0, least(4.0, k * dy))), 4) AS fy FROM x GROUP BY id",
