@@ -68,10 +68,11 @@ def average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of two columns without nulls."""
-    rows = saved(rows.select(F.col(x).alias("x"), F.col(y).alias("y")))
+    """Rank correlation of two columns over the rows that have both; null where a column is constant or there are no rows."""
+    rows = saved(rows.select(F.col(x).alias("x"), F.col(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL"))
     ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
-    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return ranked.agg(rho.alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def p_value(rho: float, n: int) -> float:
@@ -122,12 +123,15 @@ def triplet_accuracy(triplets: DataFrame, source: DataFrame, embedding: DataFram
 
 
 def adjusted_rand(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) of labels: adjusted Rand index from the contingency counts."""
+    """pairs(a, b) of labels: adjusted Rand index from the contingency counts; 1 where both sides can't but agree
+    (one label each, or none twice), null without pairs. A null label is a label like any other."""
     two = lambda c: c * (c - 1) / 2
     cells = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
     total = cells.agg(F.sum(two(F.col("n"))).alias("c"), F.sum("n").alias("m"))
     rows = cells.groupBy("a").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("ra"))
     cols = cells.groupBy("b").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("rb"))
     one = total.crossJoin(rows).crossJoin(cols)  # one row each
-    expected = F.col("ra") * F.col("rb") / two(F.col("m"))
-    return one.select(((F.col("c") - expected) / ((F.col("ra") + F.col("rb")) / 2 - expected)).alias("ari"))
+    expected = F.coalesce(F.try_divide(F.col("ra") * F.col("rb"), two(F.col("m"))), F.lit(0.0))
+    most = (F.col("ra") + F.col("rb")) / 2
+    ari = F.when(F.col("m").isNull(), F.lit(None)).when(most == expected, F.lit(1.0)).otherwise(F.try_divide(F.col("c") - expected, most - expected))
+    return one.select(ari.cast("double").alias("ari"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import approximate, exact, field, geodesic, graph, matching, mesh, optimisers, quality, spectral, stability, topology
+from fieldweave.operators import approximate, exact, field, geodesic, graph, matching, mesh, optimisers, quality, spectral, stability, svd, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.plans.reports import PLANS, spark_text
@@ -68,6 +68,23 @@ def _triplets(spark, sf_dir):
     return each.select((F.col("a") * 20 + F.col("s")).alias("t"), "a", ((F.col("a") + F.col("s")) % n).alias("i"), ((F.col("a") + 3 * F.col("s") + 50) % n).alias("j")).filter("i <> j AND a <> i AND a <> j")
 
 
+def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse table: quantities by order and line number."""
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").cast("double").alias("value"))
+
+
+def _normalised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities by supplier and part, normalised by supplier and logged."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    return columns.normalize_log1p(rows).select("row", F.col("feature").alias("col"), "value")
+
+
+def _reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table again, from as many components as it has columns."""
+    features, _, loadings = svd.truncated_svd(_quantities(spark, sf_dir), 7, power=0)
+    return _rounded(svd.reconstructed(_quantities(spark, sf_dir), features, loadings), "value", digits=3)
+
+
 QUERIES = {
     "knn": lambda s, d: _rounded(knn(points(s, d), K), "dist"),
     "knn_manhattan": lambda s, d: _rounded(knn(points(s, d), 5, "manhattan"), "dist"),
@@ -119,6 +136,8 @@ QUERIES = {
     "label_codes": lambda s, d: columns.encoded(_table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment"),
     "quantized_layout": lambda s, d: columns.quantized(layout(s, d), 1023),
     "normalize_log1p": lambda s, d: _rounded(columns.normalize_log1p(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("feature"), F.col("l_quantity").alias("value"))).groupBy("row").agg(F.sum("value").alias("value")), "value"),
+    "svd_reconstruction": _reconstruction,
+    "svd_features": lambda s, d: svd.truncated_svd(_normalised_counts(s, d), 16)[0],
     "persistent_homology": lambda s, d: s.createDataFrame([topology.persistent_homology_distance(points(s, d), projected(s, d), 24)], "h0 double, h1 double, total double"),
     "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), rounds=5),
     "field_layout": lambda s, d: FieldLayout(n_epochs=4).fit_transform(points(s, d)),
@@ -203,6 +222,8 @@ ORACLE = {
     "normalize_log1p": "WITH s AS (SELECT l_orderkey AS row, sum(l_quantity) AS total FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0), t AS (SELECT median(total) AS target FROM s) SELECT row, round(sum(ln(1 + l_quantity * target / total)), 6) AS value FROM lineitem JOIN s ON row = l_orderkey, t GROUP BY row",
 }
 
+ORACLE["svd_reconstruction"] = "SELECT l_orderkey AS row, l_linenumber::BIGINT AS col, round(sum(l_quantity)::DOUBLE, 3) AS value FROM lineitem GROUP BY ALL HAVING sum(l_quantity) <> 0"
+
 
 def queries():
     return QUERIES | {name: partial(_plan, text) for name, text in PLANS.items()}
