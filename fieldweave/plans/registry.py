@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import approximate, exact, field, geodesic, graph, matching, mesh, optimisers, quality, spectral, stability, svd, topology
+from fieldweave.operators import approximate, connected, exact, field, geodesic, graph, matching, mesh, optimisers, quality, spectral, stability, svd, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.plans.reports import PLANS, spark_text
@@ -118,7 +118,7 @@ QUERIES = {
     "t_attraction": lambda s, d: _rounded(exact.t_attraction(exact.edge_bias(graph.symmetric_max(edges(s, d))), layout(s, d)), "fx", "fy", digits=4),
     "density_pressure": lambda s, d: _rounded(exact.density_pressure(layout(s, d), 16, 5), "fx", "fy", digits=4),
     "local_radius": lambda s, d: _rounded(exact.local_radius(edges(s, d), layout(s, d)), "radius"),
-    "graph_components": lambda s, d: geodesic.components(points(s, d).select("id"), knn(points(s, d), 2).select("src", "dst", F.col("dist").alias("w"))),
+    "graph_components": lambda s, d: connected.components(points(s, d).select("id"), knn(points(s, d), 2).select("src", "dst", F.col("dist").alias("w"))),
     "geodesic_correlation": lambda s, d: _rounded(geodesic.geodesic_correlation(_lengths(s, d), projected(s, d), geodesic.landmarks(points(s, d), 16)), "rho"),
     "adjusted_mutual_information": lambda s, d: s.createDataFrame([(round(matching.adjusted_mutual_information(_labels(s, d)), 6),)], "ami double"),
     "label_changes": lambda s, d: _rounded(matching.label_changes(_labels(s, d)), "changed", "noise_flips", "between_clusters"),
@@ -139,7 +139,7 @@ QUERIES = {
     "svd_reconstruction": _reconstruction,
     "svd_features": lambda s, d: svd.truncated_svd(_normalised_counts(s, d), 16)[0],
     "persistent_homology": lambda s, d: s.createDataFrame([topology.persistent_homology_distance(points(s, d), projected(s, d), 24)], "h0 double, h1 double, total double"),
-    "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), rounds=5),
+    "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), points(s, d)),
     "field_layout": lambda s, d: FieldLayout(n_epochs=4).fit_transform(points(s, d)),
     "sampled_layout": lambda s, d: optimisers.sampled_layout(edges(s, d), layout(s, d), 4),
     "t_layout": lambda s, d: optimisers.t_layout(edges(s, d), layout(s, d), 3),
