@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import approximate, connected, exact, field, geodesic, graph, matching, mesh, optimisers, quality, spectral, stability, svd, topology
+from fieldweave.operators import approximate, bootstrap, connected, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.plans.reports import PLANS, spark_text
@@ -116,6 +116,9 @@ QUERIES = {
     "t_repulsion": lambda s, d: _rounded(exact.t_repulsion(layout(s, d)), "fx", "fy", digits=4),
     "edge_bias": lambda s, d: _rounded(exact.edge_bias(graph.symmetric_max(edges(s, d))), "w", "bias"),
     "t_attraction": lambda s, d: _rounded(exact.t_attraction(exact.edge_bias(graph.symmetric_max(edges(s, d))), layout(s, d)), "fx", "fy", digits=4),
+    "local_repulsion": lambda s, d: _rounded(local.local_repulsion(layout(s, d), 16, 5, 2.5, least=2, around=True), "fx", "fy", digits=4),
+    "local_repulsion_symmetric": lambda s, d: _rounded(local.local_repulsion(layout(s, d), 16, 5, 2.5, symmetric=True), "fx", "fy", digits=4),
+    "price_intervals": lambda s, d: bootstrap.intervals(_table(s, d, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey", 200),
     "density_pressure": lambda s, d: _rounded(exact.density_pressure(layout(s, d), 16, 5), "fx", "fy", digits=4),
     "local_radius": lambda s, d: _rounded(exact.local_radius(edges(s, d), layout(s, d)), "radius"),
     "graph_components": lambda s, d: connected.components(points(s, d).select("id"), knn(points(s, d), 2).select("src", "dst", F.col("dist").alias("w"))),
@@ -222,6 +225,10 @@ ORACLE = {
     "normalize_log1p": "WITH s AS (SELECT l_orderkey AS row, sum(l_quantity) AS total FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0), t AS (SELECT median(total) AS target FROM s) SELECT row, round(sum(ln(1 + l_quantity * target / total)), 6) AS value FROM lineitem JOIN s ON row = l_orderkey, t GROUP BY row",
 }
 
+_LOCAL = "u AS (SELECT a.id, b.id AS other, a.x - b.x AS dx, a.y - b.y AS dy, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS r2 FROM c a JOIN c b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND a.id <> b.id {only}), v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r2, other) AS place FROM u WHERE r2 > 0 AND r2 <= 6.25), w AS (SELECT *, 2 * 0.895 / ((0.001 + r2) * (1 + 1.577 * pow(r2, 0.895))) AS k FROM v WHERE place <= 5), f AS (SELECT id, other, greatest(-4.0, least(4.0, k * dx)) AS gx, greatest(-4.0, least(4.0, k * dy)) AS gy FROM w)"
+_CROWDED = "n1 AS (SELECT cx, cy, count(*) AS n FROM c GROUP BY cx, cy), n9 AS (SELECT a.cx, a.cy, sum(b.n) AS n FROM n1 a JOIN n1 b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 GROUP BY a.cx, a.cy)"
+ORACLE["local_repulsion"] = f"WITH {_CELL}, {_CROWDED}, {_LOCAL.format(only='AND EXISTS (SELECT 1 FROM n9 WHERE n9.cx = a.cx AND n9.cy = a.cy AND n9.n >= 2)')} SELECT id, round(sum(gx), 4) AS fx, round(sum(gy), 4) AS fy FROM f GROUP BY id"
+ORACLE["local_repulsion_symmetric"] = f"WITH {_CELL}, {_LOCAL.format(only='AND b.id > a.id')}, g AS (SELECT id, gx, gy FROM f UNION ALL SELECT other, -gx, -gy FROM f) SELECT id, round(sum(gx), 4) AS fx, round(sum(gy), 4) AS fy FROM g GROUP BY id"
 ORACLE["svd_reconstruction"] = "SELECT l_orderkey AS row, l_linenumber::BIGINT AS col, round(sum(l_quantity)::DOUBLE, 3) AS value FROM lineitem GROUP BY ALL HAVING sum(l_quantity) <> 0"
 
 
