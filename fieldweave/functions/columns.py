@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldweave.operators.saving import saved
+
 # Words read as true, and words read as missing.
 TRUE_WORDS = ("true", "1", "t", "yes", "y")
 MISSING_WORDS = ("", "nan", "none", "na", "not provided", "unknown", "null")
@@ -41,16 +43,31 @@ def norm_statistics(rows: DataFrame, column: str, prefix: str = "norm", threshol
     return out.select(F.col("a").alias(f"{prefix}_max"), F.col("b").alias(f"{prefix}_mean"), *(c.alias(n) for n, c in names + counts))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
+    """rows with their place (from 1) among those of the same ``by``, in an order without ties.
+
+    Rows are sorted in ranges of (by, order) and numbered within each; a range's rows of a group are offset by the
+    group's rows in the ranges before. No task holds a whole group.
+    """
+    dealt = saved(rows.repartitionByRange(by, *order).withColumn("__p", F.spark_partition_id()))
+    counts = dealt.groupBy(by, "__p").agg(F.count(F.lit(1)).alias("__n"))  # a row a group, and one for each border
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(by, "__p", F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__p", by).orderBy(*order))
+    return dealt.withColumn("__place", place).join(starts, [by, "__p"]).withColumn(out, F.col("__start") + F.col("__place")).drop("__p", "__place", "__start")
+
+
 def permuted_features(rows: DataFrame, seed: int = 1000) -> DataFrame:
     """points(id, features) with the values of each feature dealt anew over the points.
 
     Feature by feature, the n-th value by one hash goes to the n-th point by another; marginals stay, joint
-    structure goes, and the outcome is the same on any partitioning. Places are counted per feature.
+    structure goes, and the outcome is the same on any partitioning. Places are counted per feature, over ranges
+    of hashes, so that a feature's values are spread over tasks.
     """
     each = rows.select("id", F.posexplode("features").alias("f", "v"))
-    place = lambda k: F.row_number().over(Window.partitionBy("f").orderBy(F.xxhash64("id", "f", F.lit(seed), F.lit(k)), "id"))
-    given = each.select("f", "v", place(0).alias("n"))
-    taken = each.select("id", "f", place(1).alias("n"))
+    hashed = lambda k: each.withColumn("h", F.xxhash64("id", "f", F.lit(seed), F.lit(k)))
+    given = numbered(hashed(0), "f", ["h", "id"], "n").select("f", "v", "n")
+    taken = numbered(hashed(1), "f", ["h", "id"], "n").select("id", "f", "n")
     both = taken.join(given, ["f", "n"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("p"))
     return both.select("id", F.col("p.v").alias("features"))
 

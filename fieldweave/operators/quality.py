@@ -12,9 +12,14 @@ from fieldweave.operators.neighbors import knn, nearer_counts, pair_distances_by
 from fieldweave.operators.saving import saved
 
 
-def neighborhood_preservation(source: DataFrame, embedding: DataFrame, k: int = 15) -> DataFrame:
+def _near(points: DataFrame, k: int, known: DataFrame | None) -> DataFrame:
+    """The k nearest of every point, from a table of at least as many where one is known."""
+    return knn(points, k) if known is None else known.filter(F.col("rank") <= k)
+
+
+def neighborhood_preservation(source: DataFrame, embedding: DataFrame, k: int = 15, source_near: DataFrame | None = None, embedded_near: DataFrame | None = None) -> DataFrame:
     """Share of source neighbours kept in the embedding: per point and its mean."""
-    shared = knn(source, k).join(knn(embedding, k).select("src", "dst"), ["src", "dst"]).groupBy("src").agg((F.count(F.lit(1)) / k).alias("s"))
+    shared = _near(source, k, source_near).join(_near(embedding, k, embedded_near).select("src", "dst"), ["src", "dst"]).groupBy("src").agg((F.count(F.lit(1)) / k).alias("s"))
     every = source.select(F.col("id").alias("src")).join(shared, "src", "left").select("src", F.coalesce("s", F.lit(0.0)).alias("s"))
     return every.agg(F.avg("s").alias("score"), F.min("s").alias("low"), F.max("s").alias("high"), F.count(F.lit(1)).alias("n"))
 
@@ -26,14 +31,14 @@ def _rank_penalty(ranked: DataFrame, candidates: DataFrame, n: int, k: int) -> D
     return ranks.agg((1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * F.sum(F.greatest(F.col("rank") - k, F.lit(0)))).alias("score"))
 
 
-def trustworthiness(source: DataFrame, embedding: DataFrame, k: int = 5) -> DataFrame:
+def trustworthiness(source: DataFrame, embedding: DataFrame, k: int = 5, embedded_near: DataFrame | None = None) -> DataFrame:
     """Penalty for embedded neighbours that are far in the source."""
-    return _rank_penalty(source, knn(embedding, k).select("src", "dst"), source.count(), k)
+    return _rank_penalty(source, _near(embedding, k, embedded_near).select("src", "dst"), source.count(), k)
 
 
-def continuity(source: DataFrame, embedding: DataFrame, k: int = 5) -> DataFrame:
+def continuity(source: DataFrame, embedding: DataFrame, k: int = 5, source_near: DataFrame | None = None) -> DataFrame:
     """Penalty for source neighbours that are far in the embedding."""
-    return _rank_penalty(embedding, knn(source, k).select("src", "dst"), source.count(), k)
+    return _rank_penalty(embedding, _near(source, k, source_near).select("src", "dst"), source.count(), k)
 
 
 def sq_dist(a, b):
@@ -67,12 +72,16 @@ def average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
     return rows.join(ranks, column)
 
 
+def correlation(x: str, y: str):
+    """Pearson's correlation as an aggregate; null where a column is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of two columns over the rows that have both; null where a column is constant or there are no rows."""
     rows = saved(rows.select(F.col(x).alias("x"), F.col(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL"))
     ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
-    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
-    return ranked.agg(rho.alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
+    return ranked.agg(correlation("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def p_value(rho: float, n: int) -> float:

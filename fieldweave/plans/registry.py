@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import approximate, bootstrap, connected, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, topology
+from fieldweave.operators import approximate, bootstrap, connected, evaluation, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
+from fieldweave.operators.saving import shared_folder
 from fieldweave.plans.reports import PLANS, spark_text
 
 K = 15
@@ -73,6 +74,13 @@ def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").cast("double").alias("value"))
 
 
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures at once, from neighbour tables that they share."""
+    store = evaluation.Store(spark, shared_folder(spark, "evaluation"))
+    found = evaluation.evaluate(store, points(spark, sf_dir), projected(spark, sf_dir), K, n_triplets=5)
+    return _rounded(found.select("n", "preservation", "trustworthiness", "continuity", "distance_rho"), "preservation", "trustworthiness", "continuity", "distance_rho")
+
+
 def _normalised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities by supplier and part, normalised by supplier and logged."""
     rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").cast("double").alias("value"))
@@ -141,6 +149,8 @@ QUERIES = {
     "normalize_log1p": lambda s, d: _rounded(columns.normalize_log1p(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("feature"), F.col("l_quantity").alias("value"))).groupBy("row").agg(F.sum("value").alias("value")), "value"),
     "svd_reconstruction": _reconstruction,
     "svd_features": lambda s, d: svd.truncated_svd(_normalised_counts(s, d), 16)[0],
+    "evaluation": _evaluation,
+    "reliability": lambda s, d: evaluation.reliability_by_permutation(points(s, d), lambda p: p.select("id", F.slice("features", 1, 2).alias("features"))),
     "persistent_homology": lambda s, d: s.createDataFrame([topology.persistent_homology_distance(points(s, d), projected(s, d), 24)], "h0 double, h1 double, total double"),
     "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), points(s, d)),
     "field_layout": lambda s, d: FieldLayout(n_epochs=4).fit_transform(points(s, d)),
@@ -225,6 +235,9 @@ ORACLE = {
     "normalize_log1p": "WITH s AS (SELECT l_orderkey AS row, sum(l_quantity) AS total FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0), t AS (SELECT median(total) AS target FROM s) SELECT row, round(sum(ln(1 + l_quantity * target / total)), 6) AS value FROM lineitem JOIN s ON row = l_orderkey, t GROUP BY row",
 }
 
+ORACLE["evaluation"] = "SELECT (SELECT count(*) FROM embeddings) AS n, " + ", ".join(
+    f"(SELECT {c} FROM ({ORACLE[name]})) AS {out}" for out, name, c in (("preservation", "neighborhood_preservation", "score"), ("trustworthiness", "trustworthiness", "score"), ("continuity", "continuity", "score"), ("distance_rho", "distance_spearman", "rho"))
+)
 _LOCAL = "u AS (SELECT a.id, b.id AS other, a.x - b.x AS dx, a.y - b.y AS dy, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS r2 FROM c a JOIN c b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND a.id <> b.id {only}), v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r2, other) AS place FROM u WHERE r2 > 0 AND r2 <= 6.25), w AS (SELECT *, 2 * 0.895 / ((0.001 + r2) * (1 + 1.577 * pow(r2, 0.895))) AS k FROM v WHERE place <= 5), f AS (SELECT id, other, greatest(-4.0, least(4.0, k * dx)) AS gx, greatest(-4.0, least(4.0, k * dy)) AS gy FROM w)"
 _CROWDED = "n1 AS (SELECT cx, cy, count(*) AS n FROM c GROUP BY cx, cy), n9 AS (SELECT a.cx, a.cy, sum(b.n) AS n FROM n1 a JOIN n1 b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 GROUP BY a.cx, a.cy)"
 ORACLE["local_repulsion"] = f"WITH {_CELL}, {_CROWDED}, {_LOCAL.format(only='AND EXISTS (SELECT 1 FROM n9 WHERE n9.cx = a.cx AND n9.cy = a.cy AND n9.n >= 2)')} SELECT id, round(sum(gx), 4) AS fx, round(sum(gy), 4) AS fy FROM f GROUP BY id"

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from fieldweave.operators import exact, field, mesh
+from fieldweave.operators import layout as layout_module
 from fieldweave.operators.layout import FieldLayout
+from fieldweave.operators.neighbors import knn
 
 
 def cloud(spark, n=400, seed=0, spread=4.0):
@@ -81,13 +83,15 @@ def test_fine_mesh(spark):
         mesh.mesh_force(cloud(spark, 5), 2048, 3)
 
 
-def test_layout_with_stages_constraints_and_noise(spark):
+def test_layout_with_stages_constraints_and_noise(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(layout_module, "approximate_knn", lambda p, k, metric, seed: asked.append(k) or knn(p, k, metric))
     rng = np.random.default_rng(0)
     points = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4) * 0.2 + (i % 2) * 8]) for i in range(40)], "id long, features array<double>")
     known = spark.createDataFrame([(0, 1.0, 2.0), (1, 9.0, 9.0)], "id long, px double, py double")
     model = FieldLayout(n_neighbors=5, n_epochs=2, boxes=8, neighbors="approximate", stages=((0.0, 1), (0.5, 2)), total_clip=1.0, noise=0.01)
     at = {r.id: (r.x, r.y) for r in model.fit_transform(points, known=known).collect()}
-    assert len(at) == 40 and at[0] == (1.0, 2.0) and at[1] == (9.0, 9.0) and np.isfinite(list(at.values())).all()
+    assert asked == [4] and len(at) == 40 and at[0] == (1.0, 2.0) and at[1] == (9.0, 9.0) and np.isfinite(list(at.values())).all()
     soft = FieldLayout(n_neighbors=5, n_epochs=2, boxes=8, constraint_weight=0.5)
     start = points.selectExpr("id", "CAST(id AS DOUBLE) AS x", "0D AS y")
     far = spark.createDataFrame([(3, 500.0, 500.0)], "id long, px double, py double")
