@@ -61,7 +61,7 @@ def _applied(v: DataFrame, turn: DataFrame) -> DataFrame:
     return v.join(turn, "component").select("id", "component", "q", *[column(j).alias(NAMES[j]) for j in range(VECTORS)])
 
 
-def spectral_layouts(at: DataFrame, edges: DataFrame, rounds: int = 20, seed: int = 0, tolerance: float = 1e-7) -> DataFrame:
+def spectral_layouts(at: DataFrame, edges: DataFrame, rounds: int = 8, seed: int = 0, tolerance: float = 1e-7) -> DataFrame:
     """(id, component, x, y) for at(id, component): each component's second and third eigenvectors of D^-1/2 A D^-1/2.
 
     The first one, sqrt of the degrees, is known and projected out. Axes are reflected so that their mean lies at
@@ -96,7 +96,7 @@ def spectral_layouts(at: DataFrame, edges: DataFrame, rounds: int = 20, seed: in
     return v.join(s, "component").select("id", "component", mirror("x"), mirror("y"))
 
 
-def spectral_layout(vertices: DataFrame, edges: DataFrame, rounds: int = 20, seed: int = 0, tolerance: float = 1e-7) -> DataFrame:
+def spectral_layout(vertices: DataFrame, edges: DataFrame, rounds: int = 8, seed: int = 0, tolerance: float = 1e-7) -> DataFrame:
     """(id, x, y) of one connected graph edges(src, dst, w); vertices without edges are placed at 0."""
     found = spectral_layouts(vertices.select("id", F.lit(0).cast("long").alias("component")), edges, rounds, seed, tolerance)
     return vertices.select("id").join(found.drop("component"), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
