@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from fieldweave.functions.schedules import alpha, split_epochs
 from fieldweave.operators import exact, graph
+from fieldweave.operators.descent import asynchronous_layout
 from fieldweave.operators.field import clip_norm
 from fieldweave.operators.layout import FieldLayout, curve_parameters
 from fieldweave.operators.saving import saved
@@ -83,10 +84,14 @@ def t_layout(edges: DataFrame, init: DataFrame, n_epochs: int = 50, strength: fl
     return at.select("id", "x", "y")
 
 
-def two_phase_layout(points: DataFrame, n_epochs: int = 50, share: float = 0.3, **settings) -> DataFrame:
-    """Field epochs first, then sampled descent on the same graph for the given share of epochs."""
+def two_phase_layout(points: DataFrame, n_epochs: int = 50, share: float = 0.3, asynchronous: bool = False, **settings) -> DataFrame:
+    """Field epochs first, then sampled descent on the same graph for the given share of epochs.
+
+    The second phase moves all points at once, or, where asynchronous, edge after edge.
+    """
     first, second = split_epochs(n_epochs, share)
     model = FieldLayout(n_epochs=first, **settings)
     ready = model.prepare(points)
     at = model.optimize(ready["optimizer_graph"], ready["init"])
-    return sampled_layout(ready["graph"], at, second, seed=model.seed, spread=model.spread, min_dist=model.min_dist)
+    loop = asynchronous_layout if asynchronous else sampled_layout
+    return loop(ready["graph"], at, second, seed=model.seed, spread=model.spread, min_dist=model.min_dist)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import approximate, bootstrap, connected, evaluation, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, topology
+from fieldweave.operators import approximate, bootstrap, connected, descent, evaluation, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.operators.saving import shared_folder
@@ -155,6 +155,7 @@ QUERIES = {
     "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), points(s, d)),
     "field_layout": lambda s, d: FieldLayout(n_epochs=4).fit_transform(points(s, d)),
     "sampled_layout": lambda s, d: optimisers.sampled_layout(edges(s, d), layout(s, d), 4),
+    "asynchronous_layout": lambda s, d: descent.asynchronous_layout(graph.symmetric_max(edges(s, d)), layout(s, d), 10, rows=2048),
     "t_layout": lambda s, d: optimisers.t_layout(edges(s, d), layout(s, d), 3),
 }
 
