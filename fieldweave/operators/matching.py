@@ -1,18 +1,25 @@
 """Agreement of two labelings beyond the Rand index, and matching of label names.
 
-Only the contingency table, whose size is that of the label sets, reaches the driver.
+Mutual information is summed in Spark. For the matching the contingency table, whose size is that of the label
+sets, reaches the driver, up to a stated number of cells.
 """
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from collections.abc import Iterator
+from math import log, sqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.operators.saving import saved
+
 NOISE = -1
-#: Label pairs that may be gathered for matching or mutual information.
+#: Deviations beyond which an overlap by chance is left out.
+SPREADS = 40
+#: Label pairs that may be gathered for matching.
 MOST_CELLS = 1_000_000
 
 
@@ -62,27 +69,57 @@ def _cells(pairs: DataFrame) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+def _chance(total: int):
+    """Expected mutual information of pairs of label sizes (x, many_x, y, many_y), summed by batch.
+
+    The overlap of two labels is hypergeometric. Its weights come from ratios beside the mode, over their own sum,
+    and overlaps that lie more than SPREADS deviations off add less than rounding does.
+    """
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = 0.0
+            for x, many_x, y, many_y in batch.itertuples(index=False):
+                low, high = max(0, x + y - total), min(x, y)
+                mode = min(max((x + 1) * (y + 1) // (total + 2), low), high)
+                wide = int(SPREADS * sqrt(x * y / total * (total - x) / total * (total - y) / max(total - 1, 1))) + 64
+                low, high = max(low, mode - wide), min(high, mode + wide)
+                n = np.arange(low, high + 1, dtype=float)
+                step = np.log((x - n[:-1]) * (y - n[:-1])) - np.log((n[:-1] + 1) * (total - x - y + n[:-1] + 1))
+                logs = np.append(0.0, np.cumsum(step))
+                weight = np.exp(logs - logs[mode - low])
+                gain = np.zeros(len(n))
+                some = n > 0
+                gain[some] = n[some] / total * (np.log(n[some]) + log(total) - log(x) - log(y))
+                found += many_x * many_y * float((weight * gain).sum() / weight.sum())
+            yield pd.DataFrame({"expected": [found]})
+
+    return kernel
+
+
 def adjusted_mutual_information(pairs: DataFrame) -> float:
-    """pairs(a, b): mutual information less its expectation under fixed margins, over the mean entropy less the same."""
-    cells = _cells(pairs)
-    total = sum(n for *_, n in cells)
-    side_a, side_b = {}, {}
-    for a, b, n in cells:
-        side_a[a] = side_a.get(a, 0) + n
-        side_b[b] = side_b.get(b, 0) + n
-    if len(side_a) == len(side_b) == 1 or not total:
+    """pairs(a, b): mutual information less its expectation under fixed margins, over the mean entropy less the same.
+
+    Sums over cells and labels stay in Spark. The expectation needs each pair of distinct label sizes once; a side
+    of n rows has at most sqrt(2 n) distinct sizes, so that there are at most 2 n such pairs. Null is a label.
+    """
+    cells = saved(contingency(pairs))
+    total = cells.agg(F.sum("n")).first()[0]
+    if not total:
+        return 1.0
+    sides = {c: saved(cells.groupBy(c).agg(F.sum("n").alias(f"n_{c}"))) for c in "ab"}
+    if all(side.count() == 1 for side in sides.values()):
         return 1.0
-    entropy = lambda side: -sum(n / total * log(n / total) for n in side.values())
-    mutual = sum(n / total * log(n * total / (side_a[a] * side_b[b])) for a, b, n in cells)
-    expected, fact = 0.0, lambda n: lgamma(n + 1)
-    sizes = lambda side: {s: list(side.values()).count(s) for s in set(side.values())}
-    for x, many_x in sizes(side_a).items():
-        for y, many_y in sizes(side_b).items():
-            fixed = fact(x) + fact(y) + fact(total - x) + fact(total - y) - fact(total)
-            for n in range(max(1, x + y - total), min(x, y) + 1):
-                chance = exp(fixed - fact(n) - fact(x - n) - fact(y - n) - fact(total - x - y + n))
-                expected += many_x * many_y * n / total * log(n * total / (x * y)) * chance
-    mean = (entropy(side_a) + entropy(side_b)) / 2
+    share = lambda c: F.col(c) / F.lit(float(total))
+    entropy = {c: side.agg(-F.sum(share(f"n_{c}") * F.log(share(f"n_{c}")))).first()[0] for c, side in sides.items()}
+    joined = cells
+    for c, side in sides.items():
+        joined = joined.join(side.withColumnRenamed(c, f"{c}2"), F.col(c).eqNullSafe(F.col(f"{c}2")))
+    mutual = joined.agg(F.sum(share("n") * F.log(share("n") / (share("n_a") * share("n_b"))))).first()[0]
+    sizes = {c: side.groupBy(f"n_{c}").agg(F.count(F.lit(1)).alias(f"many_{c}")) for c, side in sides.items()}
+    met = sizes["a"].repartition("n_a").crossJoin(sizes["b"]).select("n_a", "many_a", "n_b", "many_b")  # at most 2 n rows
+    expected = met.mapInPandas(_chance(total), "expected double").agg(F.sum("expected")).first()[0]
+    mean = (entropy["a"] + entropy["b"]) / 2
     return (mutual - expected) / (mean - expected) if abs(mean - expected) > 1e-15 else 1.0
 
 

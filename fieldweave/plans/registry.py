@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import approximate, bootstrap, connected, descent, evaluation, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, topology
+from fieldweave.operators import approximate, bootstrap, connected, descent, evaluation, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, targets, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.operators.saving import shared_folder
@@ -93,6 +93,13 @@ def _reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(svd.reconstructed(_quantities(spark, sf_dir), features, loadings), "value", digits=3)
 
 
+def _target_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mesh of order 3 against the exact field, at the targets."""
+    at = layout(spark, sf_dir)
+    chosen = targets.select_targets(at, edges(spark, sf_dir), 100, 20)
+    return targets.error_rows(exact.exact_repulsion(at), mesh.mesh_force(at, 32, 3), chosen)
+
+
 QUERIES = {
     "knn": lambda s, d: _rounded(knn(points(s, d), K), "dist"),
     "knn_manhattan": lambda s, d: _rounded(knn(points(s, d), 5, "manhattan"), "dist"),
@@ -154,6 +161,8 @@ QUERIES = {
     "persistent_homology": lambda s, d: s.createDataFrame([topology.persistent_homology_distance(points(s, d), projected(s, d), 24)], "h0 double, h1 double, total double"),
     "spectral_layout": lambda s, d: spectral.spectral_init(points(s, d).select("id"), edges(s, d), points(s, d)),
     "field_layout": lambda s, d: FieldLayout(n_epochs=4).fit_transform(points(s, d)),
+    "field_targets": lambda s, d: targets.select_targets(layout(s, d), edges(s, d), 100, 20),
+    "target_errors": _target_errors,
     "sampled_layout": lambda s, d: optimisers.sampled_layout(edges(s, d), layout(s, d), 4),
     "asynchronous_layout": lambda s, d: descent.asynchronous_layout(graph.symmetric_max(edges(s, d)), layout(s, d), 10, rows=2048),
     "t_layout": lambda s, d: optimisers.t_layout(edges(s, d), layout(s, d), 3),
@@ -177,6 +186,14 @@ _FIELD = "m2 AS (SELECT cx, cy, any_value(width) AS width, sum(x) AS sx, sum(y)
 _PULL = "z AS (SELECT src, s.x - t.x AS dx, s.y - t.y AS dy FROM g JOIN l s ON s.id = src JOIN l t ON t.id = dst), z2 AS (SELECT src, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN -2 * 1.577 * 0.895 * pow(dx * dx + dy * dy, 0.895 - 1) / (1 + 1.577 * pow(dx * dx + dy * dy, 0.895)) ELSE 0 END AS gr FROM z), pull AS (SELECT src AS id, sum(greatest(-4.0, least(4.0, gr * dx))) AS fx, sum(greatest(-4.0, least(4.0, gr * dy))) AS fy FROM z2 GROUP BY src)"
 
 _ALL = "z AS (SELECT a.id, b.id AS other, a.x - b.x AS dx, a.y - b.y AS dy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS r2 FROM l a, l b)"
+_TARGETS = f"""WITH {_EDGES}, {_L}, v AS (SELECT l.id, x, y, x - median(x) OVER () AS u, y - median(y) OVER () AS w FROM l),
+    d AS (SELECT src AS id, sum(w) AS degree FROM g GROUP BY src),
+    r AS (SELECT id, max(dist) AS reach FROM (SELECT a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) AS rank FROM l a JOIN l b ON a.id <> b.id) WHERE rank <= 7 GROUP BY id),
+    chosen AS (SELECT 'random' AS target_group, id, row_number() OVER (ORDER BY md5('0:' || id), id) - 1 AS place, 100 AS most FROM l
+        UNION ALL SELECT 'high_degree', l.id, row_number() OVER (ORDER BY coalesce(degree, 0) DESC, l.id) - 1, 20 FROM l LEFT JOIN d USING (id)
+        UNION ALL SELECT 'dense_region', id, row_number() OVER (ORDER BY reach, id) - 1, 20 FROM r
+        UNION ALL SELECT 'radial_tail', id, row_number() OVER (ORDER BY sqrt(u * u + w * w) DESC, id) - 1, 20 FROM v)
+    SELECT target_group, place::INT AS place, id FROM chosen WHERE place < most"""
 _BIAS = "o AS (SELECT src AS v, count(*) AS n FROM m GROUP BY src), e AS (SELECT src, dst, w, t.n / (s.n + t.n) AS bias FROM m JOIN o s ON s.v = src JOIN o t ON t.v = dst)"
 _ARC = "s AS (SELECT avg(x) AS mx, avg(y) AS my, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS t FROM l), o AS (SELECT id, x, y, (x - mx) * cos(t) + (y - my) * sin(t) AS p FROM l, s), d AS (SELECT id, p, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS gap FROM o WINDOW w AS (ORDER BY p, id)), arc AS (SELECT id, sum(gap) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING) AS arc FROM d)"
 
@@ -218,6 +235,7 @@ ORACLE = {
     "graph_components": f"WITH RECURSIVE {_P}, {_knn_sql('k', 'p', 2)}, m AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k), r AS (SELECT id, id AS c FROM p UNION SELECT m.src, r.c FROM r JOIN m ON m.dst = r.id) SELECT id, min(c) AS component FROM r GROUP BY id",
     "adjusted_mutual_information": "WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c), a AS (SELECT a, sum(n) AS n FROM c GROUP BY a), b AS (SELECT b, sum(n) AS n FROM c GROUP BY b), mi AS (SELECT sum(c.n / t * ln(c.n * t / (a.n * b.n))) AS mi FROM c JOIN a USING (a) JOIN b USING (b), t), h AS (SELECT (SELECT -sum(n / t * ln(n / t)) FROM a, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM b, t) AS hb), x AS (SELECT a.n AS x, b.n AS y, t, unnest(range(greatest(1, a.n + b.n - t)::BIGINT, least(a.n, b.n)::BIGINT + 1)) AS n FROM a, b, t), e AS (SELECT sum(n / t * ln(n * t / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(x - n + 1) - lgamma(y - n + 1) - lgamma(t - x - y + n + 1))) AS e FROM x) SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, h, e",
     # two labels without noise: they keep their names or swap
+    "field_targets": _TARGETS,
     "label_changes": "WITH s AS (SELECT avg((quality <> toxic)::INT::DOUBLE) AS c, count(*) AS n FROM labels) SELECT round(least(c, 1 - c), 6) AS changed, 0.0::DOUBLE AS noise_flips, round(least(c, 1 - c), 6) AS between_clusters, n FROM s",
     # the best orthogonal map leaves 2 - 2 (sum of singular values) of the squared gap
     "procrustes": "WITH l AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings), m AS (SELECT covar_pop(a, c) AS ac, covar_pop(a, d) AS ad, covar_pop(b, c) AS bc, covar_pop(b, d) AS bd, sqrt((var_pop(a) + var_pop(b)) * (var_pop(c) + var_pop(d))) AS f, count(*) AS n FROM l) SELECT round(sqrt((2 - 2 / f * greatest(sqrt(pow(ac + bd, 2) + pow(ad - bc, 2)), sqrt(pow(ac - bd, 2) + pow(ad + bc, 2)))) / n), 6) AS rms, n FROM m",
