@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import columns
-from fieldweave.operators import approximate, bootstrap, connected, descent, evaluation, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, targets, topology
+from fieldweave.operators import approximate, bootstrap, connected, deltas, descent, evaluation, exact, field, geodesic, graph, local, matching, mesh, optimisers, quality, spectral, stability, svd, targets, topology
 from fieldweave.operators.layout import FieldLayout
 from fieldweave.operators.neighbors import knn
 from fieldweave.operators.saving import shared_folder
@@ -93,6 +93,15 @@ def _reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(svd.reconstructed(_quantities(spark, sf_dir), features, loadings), "value", digits=3)
 
 
+def _run_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders against others by segment: medians of price and of the customer's balance over five repeats."""
+    runs = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    price, balance = (F.struct(F.lit(name).alias("metric"), F.col(column).cast("double").alias("value")) for name, column in (("price", "o_totalprice"), ("balance", "c_acctbal")))
+    rows = runs.select(F.col("c_mktsegment").alias("dataset"), F.col("o_orderpriority").alias("algorithm"), (F.col("o_orderkey") % 5).alias("repeat"), F.explode(F.array(price, balance)).alias("m"))
+    found = deltas.paired_deltas(rows.select("dataset", "algorithm", "repeat", "m.*"), [("low", "1-URGENT", "5-LOW"), ("medium", "1-URGENT", "3-MEDIUM")], list(range(5)))
+    return _rounded(found, "candidate_value", "baseline_value", "paired_delta", digits=4)
+
+
 def _target_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mesh of order 3 against the exact field, at the targets."""
     at = layout(spark, sf_dir)
@@ -163,6 +172,7 @@ QUERIES = {
     "field_layout": lambda s, d: FieldLayout(n_epochs=4).fit_transform(points(s, d)),
     "field_targets": lambda s, d: targets.select_targets(layout(s, d), edges(s, d), 100, 20),
     "target_errors": _target_errors,
+    "stability_deltas": _run_deltas,
     "sampled_layout": lambda s, d: optimisers.sampled_layout(edges(s, d), layout(s, d), 4),
     "asynchronous_layout": lambda s, d: descent.asynchronous_layout(graph.symmetric_max(edges(s, d)), layout(s, d), 10, rows=2048),
     "t_layout": lambda s, d: optimisers.t_layout(edges(s, d), layout(s, d), 3),
@@ -236,6 +246,7 @@ ORACLE = {
     "adjusted_mutual_information": "WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c), a AS (SELECT a, sum(n) AS n FROM c GROUP BY a), b AS (SELECT b, sum(n) AS n FROM c GROUP BY b), mi AS (SELECT sum(c.n / t * ln(c.n * t / (a.n * b.n))) AS mi FROM c JOIN a USING (a) JOIN b USING (b), t), h AS (SELECT (SELECT -sum(n / t * ln(n / t)) FROM a, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM b, t) AS hb), x AS (SELECT a.n AS x, b.n AS y, t, unnest(range(greatest(1, a.n + b.n - t)::BIGINT, least(a.n, b.n)::BIGINT + 1)) AS n FROM a, b, t), e AS (SELECT sum(n / t * ln(n * t / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(x - n + 1) - lgamma(y - n + 1) - lgamma(t - x - y + n + 1))) AS e FROM x) SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, h, e",
     # two labels without noise: they keep their names or swap
     "field_targets": _TARGETS,
+    "stability_deltas": "WITH r AS (SELECT c_mktsegment AS dataset, o_orderpriority AS algorithm, unnest([{'metric': 'price', 'value': o_totalprice::DOUBLE}, {'metric': 'balance', 'value': c_acctbal::DOUBLE}]) AS m FROM orders JOIN customer ON o_custkey = c_custkey), v AS (SELECT dataset, algorithm, m.metric AS metric, median(m.value) AS v FROM r GROUP BY ALL) SELECT CASE b.algorithm WHEN '5-LOW' THEN 'low' ELSE 'medium' END AS comparison, c.dataset, c.metric, round(c.v, 4) AS candidate_value, round(b.v, 4) AS baseline_value, round(c.v - b.v, 4) AS paired_delta FROM v c JOIN v b ON c.dataset = b.dataset AND c.metric = b.metric WHERE c.algorithm = '1-URGENT' AND b.algorithm IN ('5-LOW', '3-MEDIUM')",
     "label_changes": "WITH s AS (SELECT avg((quality <> toxic)::INT::DOUBLE) AS c, count(*) AS n FROM labels) SELECT round(least(c, 1 - c), 6) AS changed, 0.0::DOUBLE AS noise_flips, round(least(c, 1 - c), 6) AS between_clusters, n FROM s",
     # the best orthogonal map leaves 2 - 2 (sum of singular values) of the squared gap
     "procrustes": "WITH l AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings), m AS (SELECT covar_pop(a, c) AS ac, covar_pop(a, d) AS ad, covar_pop(b, c) AS bc, covar_pop(b, d) AS bd, sqrt((var_pop(a) + var_pop(b)) * (var_pop(c) + var_pop(d))) AS f, count(*) AS n FROM l) SELECT round(sqrt((2 - 2 / f * greatest(sqrt(pow(ac + bd, 2) + pow(ad - bc, 2)), sqrt(pow(ac - bd, 2) + pow(ad + bc, 2)))) / n), 6) AS rms, n FROM m",
