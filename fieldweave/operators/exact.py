@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from fieldweave.operators.field import cells
 from fieldweave.operators.neighbors import BLOCK, _matrix, block_pairs, blocks
+from fieldweave.operators.quantiles import quantile
+from fieldweave.operators.saving import saved
 
 FORCE = "id long, fx double, fy double"
 
@@ -102,9 +104,10 @@ def density_pressure(layout: DataFrame, boxes: int, least: int, strength: float
 
 
 def local_radius(edges: DataFrame, layout: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Factor times the median length of edges with one."""
+    """Factor times the median length of edges with one; null where there is none."""
     length = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)
-    return _ends(edges, layout).select(length.alias("d")).filter("d > 0").agg((factor * F.median("d")).alias("radius"))
+    middle = quantile(saved(_ends(edges, layout).select(length.alias("d")).filter("d > 0")), "d", 0.5)
+    return layout.sparkSession.createDataFrame([(None if middle is None else factor * middle,)], "radius double")
 
 
 def add_noise(layout: DataFrame, scale: float, seed: int, fixed: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.operators.quantiles import kth, quantile
+from fieldweave.operators.saving import saved
+
 
 def bounds(layout: DataFrame) -> DataFrame:
     """Least and greatest coordinate of each axis, the joint span and non-finite rows; layout(id, x, y)."""
@@ -87,11 +92,11 @@ def core_shape(layout: DataFrame, share: float = 0.99, far: float = 2.0) -> Data
     The core radius is the distance of rank ceil(share * n), an exact percentile; of points at that very
     distance all belong to the core.
     """
-    middle = layout.agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.count(F.lit(1)).alias("n"))
-    at = layout.crossJoin(F.broadcast(middle)).select("x", "y", "n", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2).alias("r"))
-    # percentile_disc takes the first value whose share of rows reaches the one asked for
-    edge = at.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY r)").alias("core_radius"))
-    both = at.crossJoin(F.broadcast(edge))
+    mx, my = (F.lit(quantile(layout, c, 0.5)).cast("double") for c in "xy")
+    at = saved(layout.select("x", "y", F.sqrt((F.col("x") - mx) ** 2 + (F.col("y") - my) ** 2).alias("r")))
+    n = at.count()
+    edge = kth(at, "r", max(ceil(share * n), 1) - 1) if n else None
+    both = at.withColumn("core_radius", F.lit(edge).cast("double"))
     inside = F.col("r") <= F.col("core_radius")
     side = lambda c, pick: F.max(pick(c)) - F.min(pick(c))
     every, core = (lambda c: F.col(c)), (lambda c: F.when(inside, F.col(c)))

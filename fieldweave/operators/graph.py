@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.operators.quantiles import quantile
+from fieldweave.operators.saving import saved
+
 
 def _swapped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
@@ -59,9 +62,10 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def damping(degree: DataFrame, q: float = 0.99, power: float = 0.5, floor: float = 0.0) -> DataFrame:
     """Scale (reference / degree) ** power capped at 1; isolated vertices keep 1."""
-    ref = degree.agg(F.percentile("degree", q).alias("ref"))
-    scale = F.when(F.col("degree") > 0, F.greatest(F.lit(floor), F.least(F.lit(1.0), F.pow(F.col("ref") / F.col("degree"), power)))).otherwise(1.0)
-    return degree.crossJoin(F.broadcast(ref)).select("id", "degree", scale.alias("scale"))
+    degree = saved(degree)
+    ref = quantile(degree, "degree", q)
+    scale = F.when(F.col("degree") > 0, F.greatest(F.lit(floor), F.least(F.lit(1.0), F.pow(F.lit(ref) / F.col("degree"), power)))).otherwise(1.0)
+    return degree.select("id", "degree", scale.alias("scale"))
 
 
 def intervals(edges: DataFrame, n_epochs: int) -> DataFrame:

@@ -3,7 +3,7 @@ from math import exp, lgamma, log
 import numpy as np
 import pytest
 
-from fieldweave.operators import matching, targets
+from fieldweave.operators import matching, quantiles, targets
 
 
 def _points(spark, rows):
@@ -16,8 +16,8 @@ def test_quantiles_equal_numpy(spark):
     for values in (many, np.full(3000, 7.0), np.array([3.0]), np.repeat([1.0, 2.0], 1500)):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(4)
         for q in (0.0, 0.5, 0.951, 1.0) if len(values) > 5000 else (0.5,):
-            assert targets.quantile(df, "v", q) == pytest.approx(np.quantile(values, q), abs=1e-12)
-    assert targets.quantile(spark.createDataFrame([], "v double"), "v", 0.5) is None
+            assert quantiles.quantile(df, "v", q) == pytest.approx(np.quantile(values, q), abs=1e-12)
+    assert quantiles.quantile(spark.createDataFrame([], "v double"), "v", 0.5) is None
 
 
 def test_targets_equal_plain_ranking(spark):
