@@ -1,9 +1,10 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from fieldweave.operators import geodesic, matching, topology
+from fieldweave.operators import geodesic, matching, neighbors, topology
 from fieldweave.operators.neighbors import distances
 
 
@@ -81,3 +82,32 @@ def test_samples_are_distinct():
     assert len({tuple(p) for p in geodesic.sample_pairs(50, 300)}) == 300
     t = geodesic.sample_triplets(7, 500)
     assert ((t[:, 0] != t[:, 1]) & (t[:, 0] != t[:, 2]) & (t[:, 1] != t[:, 2])).all() and t.min() == 0 and t.max() == 6
+
+
+def test_tiles_are_exact(monkeypatch):
+    """Screened neighbours over several blocks and tiles equal a sort of all distances, also far from the origin, tied or huge."""
+    monkeypatch.setattr(neighbors, "TILE", (7, 11))
+    rng = np.random.default_rng(3)
+    sets = [rng.normal(size=(60, 5)), rng.integers(0, 3, (60, 2)) * 1.0, rng.normal(size=(60, 3)) * 1e-3 + 1e5, np.repeat([[0.0], [1e6]], 30, 0) + rng.normal(size=(60, 2)) * 1e-4, rng.normal(size=(60, 3)) * 1e25]
+    for metric in ("euclidean", "manhattan", "chebyshev"):
+        for x in sets:
+            parts = np.array_split(rng.permutation(60).astype(np.int64), 4)
+            rows = [(i, a.tobytes(), x[a].tobytes(), j, b.tobytes(), x[b].tobytes()) for i, a in enumerate(map(np.sort, parts)) for j, b in enumerate(map(np.sort, parts))]
+            kinds = [pa.int64(), pa.binary(), pa.binary()] * 2
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 3]), kinds)], ["a", "a_ids", "a_vectors", "b", "b_ids", "b_vectors"]) for s in range(0, 16, 3)]
+            got = [r for batch in neighbors._knn_kernel(4, metric, False)(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            assert len(got) == 240  # one list a point, whatever the number of blocks that it meets
+            d = neighbors.distances(x, x, metric)
+            want = [(i, int(j), float(d[i, j])) for i in range(60) for j in [j for j in np.lexsort((np.arange(60), d[i])) if j != i][:4]]
+            assert sorted(got, key=lambda r: (r[0], r[2], r[1])) == want
+
+
+def test_ranks_count_strictly_nearer(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 3, (40, 2)) * 1.0, rng.normal(size=(40, 2)) * 1e-4 + 7])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    pairs = [(i, int(j)) for i in range(0, 80, 2) for j in rng.choice(80, 3, replace=False) if i != j]
+    d = neighbors.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    got = neighbors.nearer_counts(points, spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert {(r.src, r.dst): r["rank"] for r in got} == {(i, j): 1 + int((d[i] < d[i, j]).sum()) for i, j in pairs}
