@@ -11,8 +11,8 @@ Near classes are found by banding: digits of four bits are sampled into bands, e
 distinct fingerprints together, and whole fingerprints are verified; a bucket's members are searched
 breadth first, so only the links of a spanning forest are written and copies cost nothing. The more
 fingerprints, the wider the bands (chance buckets stay small) and the more of them (MISS). A bucket
-is read in parts of LARGE; later parts meet the classes' first members of earlier ones. The class of
-a document is the smallest id that near links reach (LIKE or more alike), null if it has none.
+of more than LARGE is dealt into parts, and each two of its parts are searched together, in one task
+each: every two members meet, whatever the bucket's size. The class of a document is the smallest id that near links reach (LIKE or more alike), null if it has none.
 
 Null texts count as empty; an empty text has an all-zero fingerprint. "Next" is the next document
 by descending doc_id (null ids last, equal ids by text), after the last the first; a lone document
@@ -40,7 +40,7 @@ LANE = 4096
 CHUNK = 4_000_000
 #: Rows of a range of ids at about, and ranges at most; their bounds go to the driver.
 RANGE_ROWS, MOST_RANGES = 2_000, 4_096
-#: Likeness of a near pair, chance that no band brings a pair at that bound together, and members of a bucket searched at once.
+#: Likeness of a near pair, chance that no band brings a pair at that bound together, and members of a part of a bucket at about.
 LIKE, MISS, LARGE = 0.8, 0.08, 4_096
 
 _rng = np.random.default_rng(577215664)
@@ -186,50 +186,41 @@ def band_digits(n: int) -> list[list[int]]:
     return [sorted(rng.choice(BITS // 4, width, replace=False).tolist()) for _ in range(math.ceil(math.log(MISS) / math.log(1 - hit)))]
 
 
-def _forest(prints: np.ndarray, known: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links of a spanning forest over the near pairs of rows of 64-bit words, and the first member of each class.
-
-    The first ``known`` rows are firsts of earlier classes and not compared with each other.
-    """
-    left, links, firsts = np.arange(len(prints)), [], []
+def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest over the near pairs of rows of 64-bit words."""
+    left, links = np.arange(len(prints)), []
     most = int(BITS * (1 - LIKE) / 2)
     while len(left):
         queue, left = [int(left[0])], left[1:]
-        firsts.append(queue[0])
         while queue and len(left):
             x = queue.pop()
             near = np.bitwise_count(prints[left] ^ prints[x]).sum(axis=1) <= most
             if near.any():
                 met, left = left[near], left[~near]
                 links += [(x, int(y)) for y in met]
-                queue.extend(met[met >= known].tolist())
-    return links, firsts
+                queue.extend(met.tolist())
+    return links
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by band and key: links inside each bucket."""
+    """Rows sorted by band and key (with the pair of parts): links inside each of these groups, two parts at most."""
     held: list[bytes] = []
-    at, known = None, 0
+    at = None
 
-    def linked() -> tuple[pa.RecordBatch, list[bytes]]:
-        rows = np.frombuffer(b"".join(held), np.uint64).reshape(-1, BITS // 64)
-        links, firsts = _forest(rows, known)
+    def linked() -> pa.RecordBatch:
+        links = _forest(np.frombuffer(b"".join(held), np.uint64).reshape(-1, BITS // 64))
         pick = lambda k: pa.array([held[x[k]] for x in links], pa.binary())
-        return pa.RecordBatch.from_arrays([pick(0), pick(1)], ["a", "b"]), [held[i] for i in firsts]
+        return pa.RecordBatch.from_arrays([pick(0), pick(1)], ["a", "b"])
 
     for batch in batches:
         for band, key, fp in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "fp"))):
             if (band, key) != at:
                 if len(held) > 1:
-                    yield linked()[0]
-                held, at, known = [], (band, key), 0
+                    yield linked()
+                held, at = [], (band, key)
             held.append(fp)
-            if len(held) - known >= LARGE:
-                out, held = linked()
-                known = len(held)
-                yield out
     if len(held) > 1:
-        yield linked()[0]
+        yield linked()
 
 
 def near_links(prints: DataFrame) -> DataFrame:
@@ -240,7 +231,15 @@ def near_links(prints: DataFrame) -> DataFrame:
     one = prints.select("fingerprint").distinct()
     digits = lambda at: F.concat(*(F.substring("fingerprint", i + 1, 1) for i in at))
     keyed = one.select(F.unhex("fingerprint").alias("fp"), F.posexplode(F.array(*map(digits, band_digits(one.count())))).alias("band", "key"))
-    links = keyed.repartition("band", "key").sortWithinPartitions("band", "key", "fp").mapInArrow(_near_batches, "a binary, b binary")
+    parts = F.floor((F.count(F.lit(1)) + LARGE - 1) / LARGE)
+    large = keyed.groupBy("band", "key").agg(parts.alias("parts")).filter("parts > 1")
+    dealt = keyed.join(large, ["band", "key"], "left").select("band", "key", "fp", F.coalesce("parts", F.lit(1)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    # each two parts of a large bucket meet under a key of their own
+    twos = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda k: F.pmod(part + k, F.col("parts")))
+    keys = F.transform(twos, lambda o: F.concat_ws(":", "key", F.least(part, o).cast("string"), F.greatest(part, o).cast("string")))
+    met = dealt.select("band", F.explode(F.when(F.col("parts") > 1, keys).otherwise(F.array("key"))).alias("key"), "fp")
+    links = met.repartition("band", "key").sortWithinPartitions("band", "key", "fp").mapInArrow(_near_batches, "a binary, b binary")
     return links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct()
 
 

@@ -8,9 +8,10 @@ from fractions import Fraction
 from math import floor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from fieldweave.llm import centroids, personal_data, prefix_trie
+from fieldweave.llm import centroids, edit_fingerprint, personal_data, prefix_trie
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -216,3 +217,22 @@ def test_queries_equal_their_sql(spark, sf):
 def test_native_plan(spark, sf):
     plan = personal_data.labelled(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """A chain of fingerprints in one bucket is one class, whatever the size at which a bucket is searched in parts."""
+    monkeypatch.setattr(edit_fingerprint, "band_digits", lambda n: [[0, 1, 2, 3]])
+    rng = np.random.default_rng(8)
+    free = 16 + rng.permutation(edit_fingerprint.BITS - 16)
+    bits = np.zeros(edit_fingerprint.BITS, np.uint8)
+    rows = []
+    for i in range(12):
+        rows.append((i, np.packbits(bits).tobytes().hex()))
+        bits[free[40 * i : 40 * (i + 1)]] ^= 1
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    monkeypatch.setattr(edit_fingerprint, "LARGE", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 12), pa.array(["k"] * 12), pa.array(sorted(bytes.fromhex(r[1]) for r in rows))], ["band", "key", "fp"])
+    assert sum(x.num_rows for x in edit_fingerprint._near_batches(iter([batch]))) == 11
+    for large in (4096, 3):
+        monkeypatch.setattr(edit_fingerprint, "LARGE", large)
+        assert {r.near_class for r in edit_fingerprint.near_classes(prints).collect()} == {0}, large
