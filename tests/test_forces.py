@@ -3,6 +3,7 @@ import pytest
 
 from fieldweave.functions import schedules
 from fieldweave.operators import exact, optimisers, spectral
+from fieldweave.plans import registry
 
 RNG = np.random.default_rng(3)
 P = RNG.normal(size=(40, 2)) * 2
@@ -96,3 +97,15 @@ def test_schedules():
     assert all(w <= schedules.rounded_width(w) < w * 2 ** (1.001 / 64) for w in (0.3, 1.0, 1.7))
     assert schedules.noise_scale(5, 10, 2.0, "linear") == 1.0 and schedules.noise_scale(9, 10, 2.0, stop=0.5) == 0
     assert schedules.mesh_cells(10) == 32 and schedules.mesh_cells(100) == 105
+
+
+def test_forces_of_some_are_those_of_all(spark):
+    at = spark.createDataFrame([(i, (i * 7) % 31 / 3.0, (i * 11) % 29 / 5.0) for i in range(90)], "id long, x double, y double")
+    every = {r.id: (r.fx, r.fy) for r in exact.exact_repulsion(at).collect()}
+    some = exact.exact_repulsion(at, of=at.filter("id % 9 = 4").union(at.filter("id = 4"))).collect()
+    assert sorted(r.id for r in some) == list(range(4, 90, 9))
+    assert all(abs(r.fx - every[r.id][0]) < 1e-9 and abs(r.fy - every[r.id][1]) < 1e-9 for r in some)
+
+
+def test_edges_are_computed_once(spark, sf):
+    assert "MapInArrow" not in registry.edges(spark, sf)._jdf.queryExecution().toString()

@@ -3,8 +3,9 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from fieldweave.operators import geodesic, matching, neighbors, topology
+from fieldweave.operators import geodesic, matching, neighbors, quality, topology
 from fieldweave.operators.neighbors import distances
 
 
@@ -111,3 +112,16 @@ def test_ranks_count_strictly_nearer(spark):
     np.fill_diagonal(d, np.inf)
     got = neighbors.nearer_counts(points, spark.createDataFrame(pairs, "src long, dst long")).collect()
     assert {(r.src, r.dst): r["rank"] for r in got} == {(i, j): 1 + int((d[i] < d[i, j]).sum()) for i, j in pairs}
+
+
+def test_rank_correlation_is_the_same_in_any_order(spark):
+    """Exact sums: partitions and their order change no bit of it."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 40, 3000)
+    rows = spark.createDataFrame([(float(v), float(v * v + e)) for v, e in zip(x, rng.integers(0, 900, 3000))], "x double, y double")
+    found = {tuple(quality.spearman(rows.repartition(n, "y"), "x", "y").first()) for n in (1, 3, 7)}
+    ranks = [np.array([(s < v).sum() + (s == v).sum() / 2 for v in s]) for s in np.array([(r.x, r.y) for r in rows.collect()]).T]
+    assert len(found) == 1
+    assert found.pop() == (pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12), 3000)
+    assert quality.spearman(rows.withColumn("x", F.lit(1.0)), "x", "y").first().rho is None
+    assert tuple(quality.spearman(rows.filter("1 = 0"), "x", "y").first()) == (None, 0)
