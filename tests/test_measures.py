@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.operators import geodesic, matching, neighbors, quality, topology
+from fieldweave.operators import geodesic, matching, neighbors, quality, stability, topology
 from fieldweave.operators.neighbors import distances
 
 
@@ -125,3 +125,24 @@ def test_rank_correlation_is_the_same_in_any_order(spark):
     assert found.pop() == (pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12), 3000)
     assert quality.spearman(rows.withColumn("x", F.lit(1.0)), "x", "y").first().rho is None
     assert tuple(quality.spearman(rows.filter("1 = 0"), "x", "y").first()) == (None, 0)
+
+
+def test_cell_similarity_moves_no_pairs(spark, monkeypatch):
+    """Equal to brute force, ties and points without a vector on one side included; no shuffle follows the pairs."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 4, (50, 3)) * 1.0, rng.normal(size=(50, 2))
+    source = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    flat = spark.createDataFrame([(i, v.tolist() if i != 7 else None) for i, v in enumerate(y)], "id long, features array<double>")
+    found = stability.cell_similarity(source, flat)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+    got = {r.src: r.rho for r in found.collect()}
+    want = {}
+    for i in (j for j in range(50) if j != 7):
+        others = [j for j in range(50) if j != i]
+        far = lambda p, j: float(neighbors.distances(p[[i]], p[[j]])[0, 0])  # noqa: B023, E731
+        near = sorted(others, key=lambda j: (far(x, j), j))[:25]
+        e = sorted(far(y, j) for j in others if j != 7)[:25]
+        pairs = [(far(y, j), b) for j, b in zip(near, e) if j != 7]
+        want[i] = np.corrcoef(*zip(*pairs))[0, 1]
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
