@@ -50,7 +50,8 @@ DISCOUNTS = (0.9, 1.4, 1.6)
 SHARE = 0.02
 #: Words without evidence that every text counts besides its own.
 PRIOR_WORDS = 30
-BLOCK_BYTES = 2 << 20
+#: Bytes of text worked off at once; some 60 times as many are held by a worker. The power tables take the next power of two.
+BLOCK_BYTES = (1 << 19) - 1
 #: Words gathered by a task before they are passed on.
 HELD_WORDS = 300_000
 SALTS = [np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldweave.llm import centroids, compact_windows, edit_fingerprint, personal_data, prefix_trie
+from fieldweave.llm import centroids, compact_windows, edit_fingerprint, personal_data, prefix_trie, toxicity
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -249,3 +250,18 @@ def test_all_windows_of_a_class_meet():
         assert len(got) == len(set(got)) == 11
         assert set(got) == {(a, b) for a in doc.tolist() for b in doc.tolist() if a > b and (21 not in (a, b) or (a, b) == (21, 20))}
         assert [r["key"] for r in out if r["a"] == 21] == [0]
+
+
+def test_toxicity_holds_small_blocks(monkeypatch):
+    """A worker's memory over 4 MB of text; blocks of 2 MB with their power tables took over 100 MB (pipeline, toxicity)."""
+    monkeypatch.setattr(toxicity.bw, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, 300)) for _ in range(2200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts).cast(pa.binary())], ["text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in toxicity._context_batches(iter([batch]))) >= 50_000 - 1
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70_000_000
