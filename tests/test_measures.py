@@ -146,3 +146,36 @@ def test_cell_similarity_moves_no_pairs(spark, monkeypatch):
         pairs = [(far(y, j), b) for j, b in zip(near, e) if j != 7]
         want[i] = np.corrcoef(*zip(*pairs))[0, 1]
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_lists_of_tasks_merge_by_block(spark, monkeypatch):
+    """Hits of several tiles are worked off together; lists of many tasks come as one row a block and merge with ties by id."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 3, (300, 2)) * 1.0, rng.normal(size=(300, 2))])
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    packed = neighbors.wide_blocks(points, 4)
+    pairs = neighbors.block_pairs(packed.toDF("a", "a_ids", "a_vectors"), packed.toDF("b", "b_ids", "b_vectors"))
+    lists = pairs.mapInArrow(neighbors._knn_kernel(4, "euclidean", False, True), "block long, src binary, dst binary, dist binary")
+    blocks, n, most = packed.count(), spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    assert blocks > n // 2 and lists.count() <= blocks * (n // 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    got = [tuple(r) for r in neighbors.knn(points, 4).orderBy("src", "rank").collect()]
+    d = neighbors.distances(x, x)
+    want = [(i, int(j), r, float(d[i, j])) for i in range(600) for r, j in enumerate([j for j in np.lexsort((np.arange(600), d[i])) if j != i][:4], 1)]
+    assert got == want
+
+
+def test_insertion_equals_sorting(monkeypatch):
+    """New neighbours put in their places one by one give what sorting gives."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 4, (200, 3)) * 1.0
+    rows = [(0, np.arange(100).tobytes(), x[:100].tobytes(), j, np.arange(j, 200, 5).tobytes(), x[j::5].tobytes()) for j in range(5)]
+    kinds = [pa.int64(), pa.binary(), pa.binary()] * 2
+    found = []
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(neighbors, "INSERTED", most)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["a", "a_ids", "a_vectors", "b", "b_ids", "b_vectors"])]
+        found.append([r for batch in neighbors._knn_kernel(6, "euclidean", False)(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))])
+    assert found[0] == found[1] and len(found[0]) == 600
