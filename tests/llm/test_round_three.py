@@ -265,3 +265,23 @@ def test_toxicity_holds_small_blocks(monkeypatch):
     finally:
         tracemalloc.stop()
     assert peak < 70_000_000
+
+
+def test_windows_of_many_documents():
+    """Windows of documents that are worked off together are those of each alone, by a search of every sequence's least place."""
+    rng = np.random.default_rng(12)
+    T = compact_windows.TOKENS
+    sizes = [0, T - 1, T, 3, 200, T + 1, 0, 150, 1]
+    values = rng.integers(0, 40, sum(sizes)).astype(np.uint64) << np.uint64(40)  # many equal
+    bounds = np.append(0, np.cumsum(sizes))
+    want = []
+    for d, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+        v = values[a:b].tolist()
+        for c in sorted({min(range(s, s + T), key=lambda i: (v[i], i)) for s in range(len(v) - T + 1)}):
+            l, r = c, c
+            while l > 0 and v[l - 1] > v[c]:
+                l -= 1
+            while r + 1 < len(v) and v[r + 1] >= v[c]:
+                r += 1
+            want.append((d, a + l, a + c, a + r))
+    assert list(zip(*(x.tolist() for x in compact_windows.windows_of(values, bounds)))) == want
