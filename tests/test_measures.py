@@ -179,3 +179,25 @@ def test_insertion_equals_sorting(monkeypatch):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["a", "a_ids", "a_vectors", "b", "b_ids", "b_vectors"])]
         found.append([r for batch in neighbors._knn_kernel(6, "euclidean", False)(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))])
     assert found[0] == found[1] and len(found[0]) == 600
+
+
+def test_all_sources_are_taken(spark):
+    """The full measure, stored and counted, equals that of the paths by joins with every vertex a source."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(90, 2))
+    ends = {(i, int(j)) for i in range(80) for j in rng.integers(0, 80, 3) if i != j} | {(85, 86)}  # two components, some alone
+    edges = spark.createDataFrame([(i, j, float(rng.random())) for i, j in sorted(ends)], "src long, dst long, w double")
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, features array<double>")
+    want = geodesic.geodesic_correlation(edges, points, spark.range(90)).first()
+    assert geodesic.full_geodesic_correlation(edges, points).first() == want
+    found = geodesic.full_geodesic_correlation(edges, points, 3, stored=10, size=1 << 19).first()
+    assert found.n_pairs == want.n_pairs == 80 * 79 / 2 + 1 and round(found.rho, 3) == round(want.rho, 3)
+
+
+def test_the_registered_measure_has_no_sample(spark, sf):
+    from fieldweave.plans import registry
+
+    n = registry.points(spark, sf).count()
+    full = geodesic.geodesic_correlation(registry._lengths(spark, sf), registry.projected(spark, sf), registry.points(spark, sf).select("id")).first()
+    found = registry.queries()["geodesic_correlation"](spark, sf).first()
+    assert found.n_pairs == full.n_pairs > 16 * n and found.rho == round(full.rho, 6)
